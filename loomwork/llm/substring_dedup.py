@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.scratch import forget, parts, stored
+from loomwork.llm.scratch import forget, stored
 from loomwork.llm.textnp import Words, buffer_of, cover, group_bytes, joined, mix, slices
 
 WINDOW = 13
+PART_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+"""Text behind one part of the hash space and behind one bucket of documents: what one group of a task holds, whatever the input's size."""
 BUCKET = "__bucket"
 _PACK = "part int, ids binary, buckets binary, counts binary, keys binary, flags binary"
 _BACK = f"{BUCKET} int, ids binary, counts binary, keys binary, flags binary"
@@ -233,9 +235,9 @@ def _bucketed(documents: DataFrame, n: int) -> DataFrame:
     return documents.withColumn(BUCKET, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int"))
 
 
-def _repeats(docs: DataFrame, window: int) -> tuple[_Steps, DataFrame]:
+def _repeats(docs: DataFrame, window: int, n_bytes: int) -> tuple[_Steps, DataFrame]:
     """For bucketed documents (doc_id, text): the window hashes to remove, by bucket, as a written table."""
-    steps = _Steps(window, 2 * parts(docs.sparkSession))
+    steps = _Steps(window, 1 + n_bytes // PART_BYTES)
     hits = stored(docs.mapInArrow(steps.anchors, _PACK).groupBy("part").applyInArrow(lambda t: steps.probe(t), _BACK), "anchors")
     extended = docs.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.extend(t, h), _PACK)
     repeats = stored(extended.groupBy("part").applyInArrow(lambda t: steps.settle(t), _BACK), "repeats")
@@ -243,8 +245,12 @@ def _repeats(docs: DataFrame, window: int) -> tuple[_Steps, DataFrame]:
     return steps, repeats
 
 
-def _narrow(documents: DataFrame) -> DataFrame:
-    return _bucketed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 4 * parts(documents.sparkSession))
+def _size(documents: DataFrame) -> int:
+    return documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _narrow(documents: DataFrame, n_bytes: int) -> DataFrame:
+    return _bucketed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 1 + n_bytes // BUCKET_BYTES)
 
 
 def removed_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -255,13 +261,15 @@ def removed_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     an id neither lose words nor count as earlier documents. Rows that repeat an id are not earlier
     than each other. Other columns are not read; an empty table gives no rows.
     """
-    docs = _narrow(documents)
-    steps, repeats = _repeats(docs, window)
+    n_bytes = _size(documents)
+    docs = _narrow(documents, n_bytes)
+    steps, repeats = _repeats(docs, window, n_bytes)
     return docs.groupBy(BUCKET).cogroup(repeats.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.digest(t, h), "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, with removed words cut out of ``text``; texts without repeats stay byte for byte."""
-    steps, repeats = _repeats(_narrow(documents), window)
-    wide = _bucketed(documents, 4 * parts(documents.sparkSession))
+    n_bytes = _size(documents)
+    steps, repeats = _repeats(_narrow(documents, n_bytes), window, n_bytes)
+    wide = _bucketed(documents, 1 + n_bytes // BUCKET_BYTES)
     return wide.groupBy(BUCKET).cogroup(repeats.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.cut(t, h), documents.schema)
