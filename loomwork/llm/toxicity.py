@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Each word enters with word and character inputs: the label association of its hashed form, and the
-largest and mean association of its hashed character n-grams. Overlapping word windows run through
+Each word enters with word and character inputs: the label association of its form, the mean
+association of its character n-grams and the largest among the longest of them. Overlapping word windows run through
 a forward and a backward GRU; attention pools the states of a window to one logit; a text scores as
 its highest window. The network is trained in numpy on the driver from a bounded sample of labelled
 rows; scoring is one scan in which every window of every text is computed in array batches.
@@ -21,10 +21,9 @@ from loomwork.llm.textnp import Words, buffer_of, mix, slices
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, INPUTS = 8, 4
-WORD_BITS, GRAM_BITS = 16, 16
 GRAMS = (3, 4, 5)
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1500, 3000, 20_000
-"""Training takes at most this many labelled rows of each kind, none longer than so many bytes: at most 90 MB on the driver."""
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 600, 1200, 5_000
+"""Training takes at most this many labelled rows of each kind, none longer than so many bytes: at most 9 MB of text on the driver."""
 CUTOFF = 0.3
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -43,7 +42,7 @@ class Tokens:
         hashed = words.hashes()
         distinct, at, self.word = np.unique(hashed, return_index=True, return_inverse=True)
         self.first, self.counts, self.row = words.first, words.counts, words.row
-        self.word_bucket = (distinct & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+        self.distinct = distinct
         starts, size = words.starts[at], words.ends[at] - words.starts[at]
         span = size + 2  # with an edge mark on both sides
         begin = np.cumsum(span) - span
@@ -58,26 +57,37 @@ class Tokens:
             code = np.full(len(fits), n, np.uint64)
             for k in range(n):
                 code = (code << np.uint64(8)) | data[fits + k]
-            grams.append((mix(code) & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64))
-            owners.append(owner[fits])
+            grams.append(mix(code))
+            owners.append(owner[fits].astype(np.int32))
         self.gram, self.owner = np.concatenate(grams), np.concatenate(owners)
+        self.longest = len(self.gram) - len(grams[-1])
 
     def inputs(self, model: Model) -> np.ndarray:
         """INPUTS values for each distinct word."""
-        n = len(self.word_bucket)
+        n = len(self.distinct)
         out = np.zeros((n, INPUTS), np.float32)
         if n:
             order = np.argsort(self.owner, kind="stable")
             cuts = np.searchsorted(self.owner[order], np.arange(n))
-            values = model.grams[self.gram[order]]
+            found = model.grams.of(self.gram)
+            values = found[order]
             have = np.bincount(self.owner, minlength=n)
             some = have > 0
-            out[:, 0] = model.words[self.word_bucket]
-            out[some, 1] = np.maximum.reduceat(values, cuts[some])
+            out[:, 0] = model.words.of(self.distinct)
+            out[:, 1] = self.longest_of(found, n)
             out[some, 2] = np.add.reduceat(values, cuts[some]) / have[some]
             out[:, 3] = 1
         return out
 
+    def longest_of(self, values: np.ndarray, n: int) -> np.ndarray:
+        """The largest value of each word's longest n-grams, which stand last and in order of words."""
+        out = np.zeros(n, np.float32)
+        owner = self.owner[self.longest :]
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        if len(cuts):
+            out[owner[cuts]] = np.maximum.reduceat(values[self.longest :], cuts)
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """All overlapping windows, as distinct-word numbers (-1 past the end of the text), and the row of each. A wordless text has one empty window."""
         n = np.maximum(1, -(-np.maximum(self.counts - (WINDOW - STRIDE), 1) // STRIDE))
@@ -89,10 +99,32 @@ class Tokens:
         return np.where(real, self.word[at] if len(self.word) else -1, -1), row
 
 
+class Table:
+    """Values of hashed features; all others have 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def of(self, hashed: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashed), np.float32)
+        some = np.flatnonzero(self.near[(hashed & np.uint64(0xFFFF)).astype(np.int64)])
+        if len(some) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashed[some]), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == hashed[some], self.values[at], 0)
+        return out
+
+
+def _no_table() -> Table:
+    return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+
 @dataclass
 class Model:
-    words: np.ndarray = field(default_factory=lambda: np.zeros(1 << WORD_BITS, np.float32))
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(1 << GRAM_BITS, np.float32))
+    words: Table = field(default_factory=_no_table)
+    grams: Table = field(default_factory=_no_table)
     net: dict[str, np.ndarray] = field(default_factory=dict)
     scale: float = 0.0
     shift: float = -6.0
@@ -178,19 +210,39 @@ def backward(net: dict[str, np.ndarray], inputs: np.ndarray, kept, slope: np.nda
     return grad
 
 
-def association(buckets: np.ndarray, rows: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much more toxic rows than clean ones hold each bucket, as a z value brought to 0..1.
+def association(keys: np.ndarray, bucket: np.ndarray, row: np.ndarray, label: np.ndarray, used: np.ndarray) -> Table:
+    """How much more often toxic rows hold each feature than clean ones, as a logarithm brought to 0..1.
 
-    Values below the level that the best of very many chance features reaches count as none.
+    ``bucket`` (a place in ``keys``) and ``row`` are the distinct pairs. Features whose z value stays
+    below the level that the best of very many chance features reaches count as none; with more toxic
+    rows real features stand higher above it, so that level is set higher.
     """
-    held = np.unique(buckets * np.int64(len(label)) + rows)
-    bucket, row = held // len(label), held % len(label)
-    toxic, clean = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    t = np.bincount(bucket, weights=label[row], minlength=size)
-    c = np.bincount(bucket, weights=1 - label[row], minlength=size)
+    toxic, clean = max(1, int(label[used].sum())), max(1, int((1 - label[used]).sum()))
+    bucket, row = bucket[used[row]], row[used[row]]
+    t = np.bincount(bucket, weights=label[row], minlength=len(keys))
+    c = np.bincount(bucket, weights=1 - label[row], minlength=len(keys))
     share = np.clip((t + c) / (toxic + clean), 1e-9, 1 - 1e-9)
     z = (t / toxic - c / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
-    return np.clip((z - 3.5) / 3.5, 0, 1).astype(np.float32)
+    floor = np.clip(0.25 * np.sqrt(toxic), 3.5, 6)
+    often = np.log(np.maximum(t, 1e-9) / toxic) - np.log((c + 0.5) / clean)
+    value = (np.clip(often / 4, 0, 1) * np.clip((z - floor) / floor, 0, 1)).astype(np.float32)
+    return Table(keys[value > 0], value[value > 0])
+
+
+def unlike(texts: list[str]) -> np.ndarray:
+    """Which texts share no least five-word shingle, under any of four orders, with an earlier one: copies and near copies would count as evidence each."""
+    words = Words(*buffer_of(pa.array(texts, pa.large_string())))
+    gram = words.grams(words.hashes(), 5)
+    at = np.flatnonzero(words.whole(5))
+    keep, seen = np.ones(len(texts), bool), set()
+    cuts = np.flatnonzero(np.append(True, words.row[at][1:] != words.row[at][:-1])) if len(at) else []
+    if len(at):
+        least = [np.minimum.reduceat(mix(gram[at] * np.uint64(2 * k + 3)), cuts) for k in range(4)]
+        for i, row in enumerate(words.row[at][cuts].tolist()):
+            mine = {(k, int(x[i])) for k, x in enumerate(least)}
+            keep[row] = not mine & seen
+            seen |= mine
+    return keep
 
 
 def _top(scores: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,31 +252,39 @@ def _top(scores: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return scores[order[last]], order[last]
 
 
-def train(texts: list[str], label: np.ndarray, rounds: int = 4, epochs: int = 4, seed: int = 7) -> Model:
+def train(texts: list[str], label: np.ndarray, rounds: int = 3, steps: int = 240, seed: int = 7) -> Model:
     """A model from texts and labels 0/1. With no texts, or only one label, the score is constant."""
     model = Model()
     label = np.asarray(label, np.float64)
+    keep = unlike(texts)
+    texts, label = [t for t, k in zip(texts, keep) if k], label[keep]
     if not len(label) or label.min() == label.max():
         if len(label):
             model.shift = 6.0 if label[0] else -6.0
         return model
     tokens = Tokens(pa.array(texts, pa.large_string()))
-    rows_of_words = np.unique(tokens.row * np.int64(len(tokens.word_bucket) + 1) + tokens.word)
-    row, word = rows_of_words // (len(tokens.word_bucket) + 1), rows_of_words % (len(tokens.word_bucket) + 1)
-    model.words = association(tokens.word_bucket[word], row, label, 1 << WORD_BITS)
+    rows_of_words = np.unique(tokens.row * np.int64(len(tokens.distinct) + 1) + tokens.word)
+    row, word = rows_of_words // (len(tokens.distinct) + 1), rows_of_words % (len(tokens.distinct) + 1)
     order = np.argsort(tokens.owner, kind="stable")
-    gram, have = tokens.gram[order], np.bincount(tokens.owner, minlength=len(tokens.word_bucket))
+    keys, gram = np.unique(tokens.gram, return_inverse=True)
+    gram, have = gram[order], np.bincount(tokens.owner, minlength=len(tokens.distinct))
     begin = np.cumsum(have) - have
     held: list[np.ndarray] = []
-    for at in range(0, len(word), 200_000):
-        w, r = word[at : at + 200_000], row[at : at + 200_000]
+    for at in range(0, len(word), 50_000):
+        w, r = word[at : at + 50_000], row[at : at + 50_000]
         n = have[w]
         place = np.repeat(begin[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        held.append(np.unique(gram[place] * np.int64(len(label)) + np.repeat(r, n)))
-    pairs = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-    model.grams = association(pairs // len(label), pairs % len(label), label, 1 << GRAM_BITS)
-    inputs = tokens.inputs(model)
+        held.append(np.unique(gram[place].astype(np.int64) * len(label) + np.repeat(r, n)))
+    pairs = np.unique(np.concatenate(held))
+    fold = np.arange(len(label)) % 2
+    inputs = []
+    for used in (fold == 1, fold == 0, fold >= 0):  # what trains on a half of the rows enters with the other half's tables
+        model.words = association(tokens.distinct, word, row, label, used)
+        model.grams = association(keys, pairs // len(label), pairs % len(label), label, used)
+        inputs.append(tokens.inputs(model))
+    inputs = np.concatenate(inputs[:2])
     windows, owner = tokens.windows()
+    windows = np.where(windows >= 0, windows + (fold[owner] * len(tokens.distinct))[:, None], -1)
     net, rng = start_net(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
@@ -236,10 +296,10 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 4, epochs: int = 4,
         chosen = np.concatenate([best, rng.choice(clean, min(len(clean), int((label == 0).sum())), replace=False)])
         target = label[owner[chosen]]
         weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())) * len(target)
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * 128 / len(chosen)))):
             order = rng.permutation(len(chosen))
-            for at in range(0, len(order), 256):
-                some = order[at : at + 256]
+            for at in range(0, len(order), 128):
+                some = order[at : at + 128]
                 logits, kept = forward(net, inputs, windows[chosen[some]], keep=True)
                 slope = ((_sigmoid(logits) - target[some]) * weight[some] / len(some)).astype(np.float32)
                 step += 1
@@ -248,7 +308,7 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 4, epochs: int = 4,
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     net[k] -= (0.02 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        scores = np.concatenate([forward(net, inputs, windows[a : a + 8192]) for a in range(0, len(windows), 8192)])
+        scores = np.concatenate([forward(net, inputs, windows[a : a + 4096]) for a in range(0, len(windows), 4096)])
     model.net = net
     model.scale, model.shift = _calibrate(_top(scores, owner, len(label))[0].astype(np.float64), label)
     return model
@@ -271,7 +331,7 @@ def text_scores(model: Model, column: pa.Array) -> np.ndarray:
     tokens = Tokens(column)
     windows, row = tokens.windows()
     inputs = tokens.inputs(model)
-    logits = np.concatenate([forward(model.net, inputs, windows[a : a + 8192]) for a in range(0, len(windows), 8192)]) if len(windows) else np.zeros(0)
+    logits = np.concatenate([forward(model.net, inputs, windows[a : a + 4096]) for a in range(0, len(windows), 4096)]) if len(windows) else np.zeros(0)
     cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
     return model.probabilities(np.maximum.reduceat(logits, cuts)) if len(row) else logits
 
