@@ -276,7 +276,7 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, steps: int = 240
         place = np.repeat(begin[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         held.append(np.unique(gram[place].astype(np.int64) * len(label) + np.repeat(r, n)))
     pairs = np.unique(np.concatenate(held))
-    fold = np.arange(len(label)) % 2
+    fold = np.where(label > 0, np.cumsum(label), np.cumsum(1 - label)).astype(np.int64) % 2
     inputs = []
     for used in (fold == 1, fold == 0, fold >= 0):  # what trains on a half of the rows enters with the other half's tables
         model.words = association(tokens.distinct, word, row, label, used)
