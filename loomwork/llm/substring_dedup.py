@@ -210,7 +210,7 @@ class _Steps:
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
 
     def cut(self, texts: pa.Table, hits: pa.Table) -> pa.Table:
-        """The rows with repeated runs cut out of their texts; a text without any is left as it is."""
+        """The rows with repeated runs cut out of their texts, and ``n_chars`` after them; a text without any is left as it is."""
         said, _, _ = self._said(hits, np.uint64)
         out = []
         for rows in slices(texts, "text", 4 << 20):
@@ -222,8 +222,13 @@ class _Steps:
                 ends = np.minimum(np.append(words.starts[1:], len(words.buf))[kept], words.offs[row + 1])
                 ends = np.where(kept == b - 1, words.offs[row + 1], ends)
                 new[row] = b"".join(words.buf[s:e].tobytes() for s, e in zip(words.starts[kept].tolist(), ends.tolist())).decode("utf-8", "replace").rstrip(" ")
-            at = rows.column_names.index("text")
-            out.append(rows.set_column(at, "text", pa.array(new, rows.schema.field("text").type)))
+            rows = rows.set_column(rows.column_names.index("text"), "text", pa.array(new, rows.schema.field("text").type))
+            if "n_chars" in rows.column_names:
+                at, was = rows.column_names.index("n_chars"), rows["n_chars"].to_pylist()
+                for row in np.unique(words.row[removed]).tolist():
+                    was[row] = len(new[row])
+                rows = rows.set_column(at, "n_chars", pa.array(was, rows.schema.field("n_chars").type))
+            out.append(rows)
         return (pa.concat_tables(out) if out else texts).drop_columns([BUCKET])
 
 
