@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.scratch import stored
+from loomwork.llm.textnp import mix, slices
 
 GIANT, CHUNK = 65_536, 16_384
 """Characters beyond which a text is split, and characters of a chunk."""
@@ -33,6 +34,7 @@ MEMO_WORDS = 300_000
 MARK, OWN_MARK = "▁", "\ud800"
 """The space mark; and what stands for that character in a text itself (no text can hold a lone surrogate)."""
 NEVER = -(1 << 60)
+_B, _B_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 UNKNOWN = 10
 """An unknown character costs so much more than the worst piece."""
 
@@ -63,7 +65,98 @@ class Lattice:
         self.reach = max(map(len, self.score))
         self.unknown = min(s for s in self.score.values() if s > -(10**8)) - UNKNOWN
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.score)
+        held = set("".join(self.score))
+        alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in held)
+        self.stretch = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.memo: dict[str, tuple[int, bytes]] = {}
+        pieces = list(self.score)
+        keys = np.array([self._keys(np.frombuffer(p.encode("utf-32-le"), "<u4"))[0][-1] for p in pieces])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.key_score = np.array([self.score[p] for p in pieces], np.int64)[order]
+        self.key_id = np.array([self.ids[p] for p in pieces], np.int32)[order]
+        self.near = np.zeros(1 << 18, bool)
+        self.near[(mix(self.keys) >> np.uint64(46)).astype(np.int64)] = True
+
+    @staticmethod
+    def _keys(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of ``(c + 1) * B**place`` before each place, and what brings the sum of a stretch to place 0."""
+        power, back = np.full(len(points) + 1, _B, np.uint64), np.full(len(points) + 1, _B_INVERSE, np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+        return sums, back
+
+    def learn(self, words: list[str]) -> None:
+        """Encode many stretches at once and remember them: the Viterbi runs of all words go position by position together.
+
+        Words that are long or hold characters outside the vocabulary take the plain run.
+        """
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        at = 0
+        while at < len(words):
+            some, size = [], 0
+            while at < len(words) and size < 150_000:
+                if len(words[at]) <= 48:
+                    some.append(words[at])
+                    size += len(words[at])
+                else:
+                    self.word(words[at])
+                at += 1
+            self._learn(some)
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        words.sort(key=len, reverse=True)
+        size = np.array([len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sums, back = self._keys(points)
+        start = np.cumsum(size) - size
+        place = np.arange(len(points)) - np.repeat(start, size) + 1  # of each character, as an end
+        score = np.full((self.reach + 1, len(points)), NEVER)
+        ident = np.zeros((self.reach + 1, len(points)), np.int32)
+        for n in range(1, self.reach + 1):
+            end = np.flatnonzero(place >= n)
+            key = (sums[end + 1] - sums[end + 1 - n]) * back[end + 1 - n]
+            maybe = np.flatnonzero(self.near[(mix(key) >> np.uint64(46)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+            hit = self.keys[k] == key[maybe]
+            score[n, end[maybe[hit]]], ident[n, end[maybe[hit]]] = self.key_score[k[hit]], self.key_id[k[hit]]
+        node = start + np.arange(len(words))  # each word has one node more than characters
+        best, step = np.full(len(points) + len(words), NEVER), np.zeros(len(points) + len(words), np.int8)
+        best[node] = 0
+        active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "right")  # words of at least that length
+        for p in range(1, int(size[0]) + 1):
+            m = active[p]
+            here, char = node[:m] + p, start[:m] + p - 1
+            top, by = np.full(m, NEVER), np.zeros(m, np.int8)
+            for n in range(min(p, self.reach), 0, -1):
+                value = best[here - n] + score[n, char]
+                better = value > top
+                top[better], by[better] = value[better], n
+            best[here], step[here] = np.maximum(top, NEVER), by
+        known = best[node + size] > NEVER // 2
+        cur, live, found = size.copy(), np.flatnonzero(known & (size > 0)), []
+        while len(live):
+            n = step[node[live] + cur[live]].astype(np.int64)
+            found.append((live, ident[n, start[live] + cur[live] - 1]))
+            cur[live] -= n
+            live = live[cur[live] > 0]
+        owner = np.concatenate([f[0] for f in found[::-1]]) if found else np.zeros(0, np.int64)
+        ids = np.concatenate([f[1] for f in found[::-1]]).astype("<u4") if found else np.zeros(0, "<u4")
+        packed = ids[np.argsort(owner, kind="stable")].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        totals, known = best[node + size].tolist(), known.tolist()
+        a = 0
+        for k, w in enumerate(words):
+            if known[k]:
+                self.memo[w] = (totals[k], packed[a : ends[k]])
+            else:
+                self.word(w)
+            a = ends[k]
 
     def edges(self, x: str, j: int, low: int) -> Iterator[tuple[int, int]]:
         """(start, score) of the pieces of x that end at j and start at ``low`` or later, the longest first."""
@@ -115,10 +208,21 @@ class Lattice:
         return got
 
     def stretches(self, x: str) -> list[str]:
-        return _STRETCH.findall(x) if self.cuts else [x] if x else []
+        return self.stretch.findall(x) if self.cuts else [x] if x else []
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit numbers; words new to the worker are learnt together."""
+        parts = [self.stretches(marked(t)) for t in texts]
+        new: set[str] = set()
+        new.update(*parts)
+        self.learn([w for w in new if w not in self.memo])
+        memo = self.memo
+        if all(w in memo for w in new):
+            return [b"".join([memo[w][1] for w in p]) for p in parts]
+        return [b"".join([self.word(w)[1] for w in p]) for p in parts]
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self.word(w)[1] for w in self.stretches(marked(text))])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The text's UTF-8 bytes."""
@@ -156,7 +260,6 @@ class Lattice:
         return np.maximum(out, NEVER)
 
 
-_STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _CUT = re.compile(f"[^{MARK}](?={MARK})")
 
 
@@ -186,12 +289,13 @@ def _plain(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
-                ids, raw = model.encode(text), text.encode()
-                rows.append(_row(key, ids, len(raw), model.decode(ids) == raw))
-            yield _results(rows, batch.schema.names[0], batch.schema.types[0])
+            for part in slices(batch, "text"):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                rows = []
+                for key, text, ids in zip(part.column(0).to_pylist(), texts, model.encode_all(texts)):
+                    raw = text.encode()
+                    rows.append(_row(key, ids, len(raw), model.decode(ids) == raw))
+                yield _results(rows, batch.schema.names[0], batch.schema.types[0])
 
     return run
 

@@ -1,4 +1,5 @@
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -45,8 +46,8 @@ def test_without_cuts_the_scan_is_the_same(documents):
             parts = [model.matrix(x[max(0, a - 16) : a + 20], min(a, 16)) for a in range(0, len(x), 20)]
         finally:
             model.cuts = True
-        left = P.reduce(P.combined, parts)
-        right = P.reduce(lambda b, a: P.combined(a, b), parts[::-1])
+        left = reduce(P.combined, parts)
+        right = reduce(lambda b, a: P.combined(a, b), parts[::-1])
         assert (left == right).all() and left[0, 0] == whole
 
 
