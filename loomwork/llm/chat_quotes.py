@@ -107,16 +107,16 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 
 def _trees(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth) by pointer doubling: each step doubles how far up a message has looked."""
-    ups = stored(replies.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")), "trees")
-    while True:
-        above = ups.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        step = ups.join(above, ["conv_id", "root"]).select("conv_id", "turn", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        new = stored(step, "trees")
+    """(conv_id, turn, root, depth) by pointer doubling: each step doubles how far up a message has looked; those at their root rest."""
+    first = F.col("reply_to").isNull()
+    ups = stored(replies.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(first, 0).otherwise(1).cast("long").alias("depth"), first.alias("done")), "trees")
+    while ups.where("not done").limit(1).count():
+        above = ups.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = ups.where("not done").join(above, ["conv_id", "root"]).select("conv_id", "turn", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        new = stored(ups.where("done").unionByName(moved), "trees")
         forget(ups)
-        ups = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return ups
+        ups = new
+    return ups.drop("done")
 
 
 def transcripts(linked: DataFrame) -> DataFrame:
