@@ -18,8 +18,8 @@ def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def diagnosed_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, faults): rows that fit, and file and text of those that do not."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.withColumn("file", F.input_file_name())
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), parsed.alias("r")).select("file", "r.*")
     return rows.where("_corrupt is null").drop("_corrupt", "file"), rows.where("_corrupt is not null").select("file", F.col("_corrupt").alias("row"))
 
 
@@ -36,10 +36,10 @@ def trec_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def label_sheet(spark: SparkSession, path: str) -> DataFrame:
     """(record, label) of Markdown sheets with blocks ``#### Relevance N`` and ``Label: x``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     block = r"(?m)^#### Relevance (\d+)\s*\n+Label:[ \t]*(\S*)"
-    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(block), F.lit(1)).alias("r"), F.regexp_extract_all("value", F.lit(block), F.lit(2)).alias("l"))
-    return text.select(F.explode(pairs).alias("p")).select(F.col("p.r").cast("int").alias("record"), F.col("p.l").alias("label"))
+    found = text.select(F.explode(F.regexp_extract_all("value", F.lit(block), F.lit(0))).alias("b"))
+    return found.select(F.regexp_extract("b", block, 1).cast("int").alias("record"), F.regexp_extract("b", block, 2).alias("label"))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
