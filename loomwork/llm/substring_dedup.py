@@ -278,3 +278,22 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     steps, repeats = _repeats(_narrow(documents, n_bytes), window, n_bytes)
     wide = _bucketed(documents, 1 + n_bytes // BUCKET_BYTES)
     return wide.groupBy(BUCKET).cogroup(repeats.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.cut(t, h), documents.schema)
+
+
+_LEADS = "".join(f" || ' ' || lead(word, {k}) OVER x" for k in range(1, WINDOW))
+ORACLE_SQL = f"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM split),
+grams AS (SELECT doc_id, i, word{_LEADS} AS g FROM words WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+least AS (SELECT g, min(doc_id) AS m FROM grams WHERE g IS NOT NULL GROUP BY g),
+hit AS (SELECT doc_id, i, i AS h FROM grams JOIN least USING (g) WHERE m < doc_id),
+mark AS (
+  SELECT doc_id, i, word, max(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN hit USING (doc_id, i)
+), run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM mark),
+figures AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM run GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN figures USING (doc_id)"""
