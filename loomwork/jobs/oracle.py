@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomwork.functions.text import STOPWORDS
+from loomwork.operators.agent import COMPARISON_CUES, CUES, DESCRIPTIVE, REQUIREMENTS, SETUP_CUES
 
 WORD, TOKEN = r"[^\s\p{Z}]+", r"[\p{L}\p{N}_]+"
 
@@ -195,3 +196,69 @@ FROM (SELECT *, row_number() OVER (PARTITION BY question_id, claim ORDER BY scor
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""",
 }
+
+
+def _cue(cues) -> str:
+    return f"regexp_matches(lower(question), '(^|[^A-Za-z0-9_])(" + "|".join(cues) + ")($|[^A-Za-z0-9_])')"
+
+
+def _texts(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _stem(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{e}') AND length({x}) - {len(e)} >= 4 THEN {x}[:length({x}) - {len(e)}]" for e in ("ing", "ed", "es", "s")) + f" ELSE {x} END"
+
+
+_NEEDS = f"""
+kind AS (
+  SELECT question_id, question, CASE {" ".join(f"WHEN {_cue(c)} THEN '{k}'" for k, c in CUES.items())} ELSE 'factual' END AS kind,
+         {_cue([c for c in COMPARISON_CUES if c not in DESCRIPTIVE])} AS named, {_cue(SETUP_CUES)} AS setup,
+         list_filter(regexp_extract_all(lower(question), '[a-z0-9][a-z0-9\\-]*'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS t FROM queried
+), base AS (
+  SELECT *, CASE kind WHEN 'method' THEN ['method'] WHEN 'result' THEN ['result'] WHEN 'limitation' THEN ['limitation']
+         WHEN 'comparison' THEN CASE WHEN named THEN ['result', 'comparison'] ELSE ['comparison'] END ELSE ['direct_answer'] END AS names, list_transform(t, lambda w: {_stem("w")}) AS stems FROM kind
+), row_ AS (
+  SELECT question_id, unnest(range(0, len(names))) AS ordinal, unnest(names) AS name, list_filter(stems, lambda w, i: list_position(stems, w) = i) AS stems
+  FROM (SELECT * REPLACE (CASE WHEN setup THEN list_append(names, 'experiment_context') ELSE names END AS names) FROM base)
+), fixed(name, hints, words, needed, gap) AS (VALUES {", ".join(f"('{n}', {_texts(h)}, {_texts(w)}, {m}, '{g}')" for n, (h, w, m, g) in REQUIREMENTS.items())}),
+needs AS (
+  SELECT question_id, CAST(ordinal AS INT) AS ordinal, row_.name, hints, coalesce(words, stems) AS words, coalesce(needed, least(2, greatest(len(stems), 1))) AS needed, coalesce(gap, 'TERMINOLOGY_MISMATCH') AS gap
+  FROM row_ LEFT JOIN fixed USING (name)
+)"""
+_NUMBER = r"(?:^|[^A-Za-z0-9_.])(\d+(?:,\d{3})*(?:\.\d+)?)"
+
+
+def _numbers(x: str) -> str:
+    plain = r"regexp_replace(regexp_replace(regexp_replace(replace(n, ',', ''), '(\.\d*?)0+$', '\1'), '\.$', ''), '^0+(\d)', '\1')"
+    return f"list_transform(regexp_extract_all({x}, '{_NUMBER}', 1), lambda n: {plain})"
+
+
+ORACLE_SQL |= {
+    "question_plan": f"""WITH queried AS (SELECT conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user'), {_NEEDS}
+SELECT question_id, ordinal, name, array_to_string(words, ',') AS keywords, CAST(needed AS INT) AS needed, gap FROM needs""",
+    "evidence_verdicts": f"""WITH {CHUNKS}, {questions()}, {scores()}, queried AS (SELECT question_id, question FROM questions), {_NEEDS},
+hits AS (SELECT question_id, section, text FROM (SELECT *, {_RANK} AS rank FROM bm25) JOIN chunks USING (passage_id) WHERE rank <= 5),
+met AS (
+  SELECT DISTINCT question_id, ordinal, true AS met FROM hits JOIN needs USING (question_id)
+  WHERE len(list_filter(coalesce(hints, []), lambda h: contains(lower(section), h))) > 0 OR len(list_filter(words, lambda w: regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || regexp_escape(w)))) >= needed
+)
+SELECT question_id, bool_and(met IS NOT NULL) AS sufficient, coalesce(arg_min(gap, ordinal) FILTER (met IS NULL), 'NONE') AS gap FROM needs LEFT JOIN met USING (question_id, ordinal) GROUP BY 1""",
+    "number_grounding": f"""WITH {CHUNKS}, l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
+a AS (SELECT doc_id AS question_id, l[1] AS question, l[-1] AS answer FROM l WHERE len(l) > 0),
+said AS (SELECT DISTINCT question_id, number FROM (SELECT question_id, unnest({_numbers("answer")}) AS number, {_numbers("question")} AS own FROM a) WHERE NOT list_contains(own, number)),
+stated AS (SELECT DISTINCT doc_id AS question_id, chunk_number, unnest({_numbers("text")}) AS number FROM chunks),
+judged AS (SELECT question_id, number, coalesce(bool_or(chunk_number = 0), false) AS cited, count(chunk_number) AS n FROM said LEFT JOIN stated USING (question_id, number) GROUP BY ALL)
+SELECT question_id, CASE WHEN n > 0 THEN 'NUMBER_FROM_UNCITED_PASSAGE' ELSE 'UNSUPPORTED_NUMBER' END AS code, CASE WHEN n > 0 THEN 'warning' ELSE 'error' END AS severity, number AS subject FROM judged WHERE NOT cited""",
+    "prompt_selection": f"""WITH RECURSIVE {CHUNKS}, {questions()}, {scores()},
+top AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM bm25) WHERE rank <= 12),
+held AS (SELECT DISTINCT question_id, passage_id, rank, length(term) % 3 AS c FROM top JOIN post USING (passage_id) JOIN qt USING (question_id, term)),
+step AS (
+  SELECT question_id, -1 AS c, []::VARCHAR[] AS taken FROM (SELECT DISTINCT question_id FROM held)
+  UNION ALL
+  SELECT question_id, c + 1, list_concat(taken, coalesce((SELECT [arg_min(p.passage_id, p.rank)] FROM held p WHERE p.question_id = step.question_id AND p.c = step.c + 1 AND NOT list_contains(step.taken, p.passage_id) HAVING count(*) > 0), []))
+  FROM step WHERE c < 2
+), others AS (SELECT question_id, list(passage_id ORDER BY rank) AS ids FROM (SELECT DISTINCT question_id, passage_id, rank FROM held) GROUP BY 1),
+full_ AS (SELECT question_id, list_slice(list_concat(taken, list_filter(ids, lambda x: NOT list_contains(taken, x))), 1, 8) AS ids FROM step JOIN others USING (question_id) WHERE c = 2)
+SELECT question_id, CAST(unnest(range(0, len(ids))) AS INT) AS place, unnest(ids) AS passage_id FROM full_""",
+}
