@@ -1,6 +1,10 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: BPE merges, and a max-plus parallel scan for unigram models.
 
-A text is encoded as the best-scoring chain of vocabulary pieces (Viterbi over the scores that the
+``tokenized`` encodes by the method the model file names. The scores of a BPE file are merge ranks,
+so its texts are encoded by merges: the library encodes each distinct stretch between forced cuts
+(places that no piece spans), and a giant text is split into chunks at forced cuts only.
+
+For a unigram model (and in ``encode`` and ``encode_ids``, whatever the file) a text is encoded as the best-scoring chain of vocabulary pieces (Viterbi over the scores that the
 model file gives; scores are whole numbers, so sums are exact in any order). Characters outside the
 vocabulary fall back to byte pieces. A position where a space mark follows another character is a
 forced cut when, as here, no piece holds a mark after another character: words between cuts are
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +40,7 @@ MARK, OWN_MARK = "▁", "\ud800"
 """The space mark; and what stands for that character in a text itself (no text can hold a lone surrogate)."""
 NEVER = -(1 << 60)
 _B, _B_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BPE = 2
 UNKNOWN = 10
 """An unknown character costs so much more than the worst piece."""
 
@@ -43,10 +49,102 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
 
 
+def model_type(path: str) -> int:
+    """The ``trainer_spec.model_type`` of a model file: 1 unigram, 2 BPE, 3 word, 4 char."""
+    with open(path, "rb") as file:
+        data = file.read()
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value, at
+
+    def fields(at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        while at < end:
+            tag, at = number(at)
+            if tag & 7 == 0:
+                value, to = number(at)
+            elif tag & 7 == 2:
+                value, at = number(at)
+                to = at + value
+            else:
+                value, to = 0, at + (4 if tag & 7 == 5 else 8)
+            yield tag, value if tag & 7 == 0 else at, to
+            at = to
+
+    found = 1
+    for tag, body, to in fields(0, len(data)):
+        if tag == 2 << 3 | 2:
+            found = next((value for t, value, _ in fields(body, to) if t == 3 << 3), found)
+    return found
+
+
+class Merges:
+    """The library's BPE ids of marked texts, by stretches between forced cuts.
+
+    The library puts a mark before what it is given: a stretch that starts with a mark goes without
+    it, any other after a character that no piece holds, whose ids are then dropped. A mark of the
+    text itself would become a space there; it takes its byte pieces instead, so texts come back.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        held = set("".join(pieces))
+        self.alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in held)
+        self.cuts = bool(self.alone) and not any(MARK in p.lstrip(MARK) for p in pieces)
+        alone = re.escape(self.alone) + OWN_MARK
+        self.stretch = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if self.cuts else f"{OWN_MARK}|[^{OWN_MARK}]+")
+        self.own = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()], "<u4").tobytes()
+        self.lone = np.array([model.piece_to_id(MARK)], "<u4").tobytes()
+        self.lead = (self.alone or "\n")[:1]
+        self.led = len(model.encode(self.lead))
+        self.memo: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        out = {w: self.own if w == OWN_MARK else self.lone for w in words if w in (OWN_MARK, MARK)}
+        some = [w for w in words if w not in out]
+        given = [(w[1:] if w[0] == MARK else self.lead + w).replace(MARK, " ") for w in some]
+        for w, ids in zip(some, self.model.encode(given, num_threads=1) if given else []):
+            out[w] = array("I", ids if w[0] == MARK else ids[self.led :]).tobytes()
+        return out
+
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """Ids of each marked text as bytes of 32-bit numbers; stretches new to the worker go to the library together."""
+        parts = [self.stretch.findall(x) for x in texts]
+        words: set[str] = set()
+        words.update(*parts)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        new = self.learn([w for w in words if w not in self.memo])
+        self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 48)
+        known = self.memo if all(len(w) <= 48 for w in new) else self.memo | new
+        return [b"".join([known[w] for w in p]) for p in parts]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return self.encode_marked([marked(t) for t in texts])
+
+    def chunks(self, x: str, size: int) -> Iterator[str]:
+        """Parts of a marked text of at least ``size`` characters, split at forced cuts only."""
+        start = 0
+        for m in self.stretch.finditer(x):
+            if m.end() - start >= size:
+                yield x[start : m.end()]
+                start = m.end()
+        if start < len(x):
+            yield x[start:]
+
+
 class Lattice:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.path = path
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.score: dict[str, int] = {}
         self.ids: dict[str, int] = {}
@@ -222,7 +320,8 @@ class Lattice:
         return [b"".join([self.word(w)[1] for w in p]) for p in parts]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids by the model's own method: merges where it is a BPE model, else the best chain."""
+        return (merges(self.path) or self).encode_all([text])[0]
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The text's UTF-8 bytes."""
@@ -273,6 +372,11 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+@lru_cache(2)
+def merges(path: str) -> Merges | None:
+    return Merges(path) if model_type(path) == BPE else None
+
+
 def _row(digest: str, ids: bytes, n_bytes: int, ok: bool) -> tuple:
     return digest, n_bytes, len(ids) // 4, hashlib.sha256(ids).hexdigest(), ok
 
@@ -285,14 +389,15 @@ def _results(rows: list[tuple], key: str, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[key, "n_bytes", "n_pieces", "ids_sha256", "round_trip"])
 
 
-def _plain(path: str):
+def _plain(path: str, chains: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
+        method = model if chains else merges(path) or model
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = []
-                for key, text, ids in zip(part.column(0).to_pylist(), texts, model.encode_all(texts)):
+                for key, text, ids in zip(part.column(0).to_pylist(), texts, method.encode_all(texts)):
                     raw = text.encode()
                     rows.append(_row(key, ids, len(raw), model.decode(ids) == raw))
                 yield _results(rows, batch.schema.names[0], batch.schema.types[0])
@@ -301,12 +406,12 @@ def _plain(path: str):
 
 
 def encode_ids(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) of every document row; a null or empty text has none. For texts that fit a task."""
+    """doc_id and ids (array of int) of the best chain of every document row; a null or empty text has none. For texts that fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for batch in batches:
-            ids = [np.frombuffer(model.encode(t or ""), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(model.encode_all([t or ""])[0], "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -324,6 +429,35 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _gather(path: str):
+    def gather(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+        ids = b"".join(r["ids"] for r in rows)
+        raw = lattice(path).decode(ids)
+        return pa.Table.from_batches([_results([_row(rows[0]["digest"], ids, len(raw), hashlib.sha256(raw).hexdigest() == rows[0]["digest"])], "digest", pa.string())])
+
+    return gather
+
+
+def _merged_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """digest and results of distinct giant texts by BPE merges: every chunk between forced cuts on its own."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+                for k, x in enumerate(merges(path).chunks(marked(text), chunk)):
+                    yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([k], pa.int32()), pa.array([x.encode("utf-8", "surrogatepass")], pa.binary())], names=["digest", "k", "body"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body"):
+                ids = merges(path).encode_marked([b.decode("utf-8", "surrogatepass") for b in part.column("body").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("k"), pa.array(ids, pa.binary())], names=["digest", "k", "ids"])
+
+    chunks = texts.mapInArrow(split, "digest string, k int, body binary").repartition("digest", "k")
+    return chunks.mapInArrow(emit, "digest string, k int, ids binary").groupBy("digest").applyInArrow(_gather(path), f"digest string, {_RESULT}")
+
+
 def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     """digest and results of distinct giant texts."""
 
@@ -391,12 +525,6 @@ def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         packed = np.array(ids, "<u4").tobytes()
         return r["digest"], r["k"], packed
 
-    def gather(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        ids = b"".join(r["ids"] for r in rows)
-        raw = lattice(path).decode(ids)
-        return pa.Table.from_batches([_results([_row(rows[0]["digest"], ids, len(raw), hashlib.sha256(raw).hexdigest() == rows[0]["digest"])], "digest", pa.string())])
-
     key = "digest string, k int, "
     chunks = stored(texts.mapInArrow(split, key + "at int, body binary").repartition("digest", "k"), "chunks")
     matrices = chunks.mapInArrow(each(["digest", "k", "m"], [pa.string(), pa.int32(), numbers], transfer), key + "m array<long>")
@@ -405,17 +533,27 @@ def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     into = entered.mapInArrow(each(["digest", "k", "into"], [pa.string(), pa.int32(), numbers], origins), key + "into array<long>")
     left = entered.join(into.groupBy("digest").applyInArrow(exits, key + "exit int"), ["digest", "k"])
     ids = left.mapInArrow(each(["digest", "k", "ids"], [pa.string(), pa.int32(), pa.binary()], emit), key + "ids binary")
-    return ids.groupBy("digest").applyInArrow(gather, f"digest string, {_RESULT}")
+    return ids.groupBy("digest").applyInArrow(_gather(path), f"digest string, {_RESULT}")
+
+
+def _encoded(documents: DataFrame, path: str, giant: int, chunk: int, chains: bool) -> DataFrame:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    short = rows.where(F.length("text") <= giant).mapInArrow(_plain(path, chains), f"doc_id long, {_RESULT}")
+    long = rows.where(F.length("text") > giant).withColumn("digest", F.sha2("text", 256))
+    done = (_giants if chains else _merged_giants)(long.groupBy("digest").agg(F.first("text").alias("text")), path, chunk)
+    return short.unionByName(long.select("doc_id", "digest").join(done, "digest").drop("digest"))
 
 
 def encode(documents: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and round_trip of every document row.
 
+    The ids are those of the best-scoring chain, which for a BPE file are not the library's; see ``tokenized``.
     ``round_trip`` says whether decoding gives the text back. Null and empty texts have no pieces.
     Equal giant texts are encoded once. Other columns are not read; an empty table gives no rows.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= giant).mapInArrow(_plain(path), f"doc_id long, {_RESULT}")
-    long = rows.where(F.length("text") > giant).withColumn("digest", F.sha2("text", 256))
-    done = _giants(long.groupBy("digest").agg(F.first("text").alias("text")), path, chunk)
-    return short.unionByName(long.select("doc_id", "digest").join(done, "digest").drop("digest"))
+    return _encoded(documents, path, giant, chunk, True)
+
+
+def tokenized(documents: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """As ``encode``, by the method the model file names: the library's merges for BPE, the best chain for unigram."""
+    return _encoded(documents, path, giant, chunk, model_type(path) != BPE)
