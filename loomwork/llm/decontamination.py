@@ -6,7 +6,11 @@ scores against itself. Items stand in blocks of like self-scores; each block kee
 impact of a term in it. The terms with the least impacts, whose sum over a block stays below a part
 of its lowest threshold, are not looked up at first: for each passage their whole sum is added to
 the block maxima of its other terms, and only blocks whose bound reaches their threshold are scored
-exactly. A retrieved item counts when the passage holds its question and its answer.
+exactly. A retrieved item counts when the passage holds its question and its answer, or enough of the
+item as a whole, so that a change in a short answer can't hide a copy.
+
+Words are compared without the punctuation and symbols at their edges (Unicode categories P and S); a
+word of nothing else is left out.
 
 The index is a bounded list (``MAX_ITEMS`` items, ``MAX_BYTES`` of text) sent to all tasks; a larger
 benchmark is indexed in several such shards, which pass over the documents one after another.
@@ -15,14 +19,18 @@ benchmark is indexed in several such shards, which pass over the documents one a
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textnp import Words, buffer_of, slices
+from loomwork.llm import textnp
+from loomwork.llm.textnp import buffer_of, slices
 
 K1, B = 1.2, 0.75
 SHARE = 0.6
@@ -38,6 +46,60 @@ _WORD = re.compile(b"[^\x20\x09-\x0d]+")
 _SENTENCE = re.compile(b"(?<=[.!?])[\x20\x09-\x0d]+|\n+")
 
 
+@lru_cache(1)
+def _marks() -> np.ndarray:
+    """Of each code point: whether it is punctuation or a symbol."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "PS" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+class Words(textnp.Words):
+    """Words without the punctuation and symbols at their edges; a word of nothing else is left out."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        super().__init__(buf, offs)
+        marks = _marks()
+        inner = ~marks[:256][buf]
+        lead = np.flatnonzero(buf >= 0xC0)
+        if len(lead):
+            size = np.where(buf[lead] >= 0xF0, 4, np.where(buf[lead] >= 0xE0, 3, 2))
+            code = buf[lead].astype(np.int64) & (0x7F >> size)
+            for k in range(1, 4):
+                more = size > k
+                code[more] = code[more] << 6 | (buf[lead[more] + k] & 0x3F)
+            mark = marks[np.minimum(code, sys.maxunicode)]
+            for k in range(4):
+                some = size > k
+                inner[lead[some] + k] = ~mark[some]
+        at = np.flatnonzero(inner & self.solid)
+        before = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(inner & self.solid, out=before[1:])
+        a, z = before[self.starts], before[self.ends]
+        kept = z > a
+        self.starts, self.ends, self.row = at[a[kept]], at[z[kept] - 1] + 1, self.row[kept]
+        self.counts = np.bincount(self.row, minlength=len(offs) - 1).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        self.solid = np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+@lru_cache(1 << 16)
+def _bare(word: bytes) -> bytes:
+    text, marks = word.decode("utf-8", "surrogateescape"), _marks()
+    a, z = 0, len(text)
+    while a < z and marks[ord(text[a])]:
+        a += 1
+    while a < z and marks[ord(text[z - 1])]:
+        z -= 1
+    return text[a:z].encode("utf-8", "surrogateescape")
+
+
+def bare(words: Sequence[bytes]) -> list[bytes]:
+    """The words as ``Words`` has them."""
+    return [w for w in map(_bare, words) if w]
+
+
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """Words of an item's question and of its answer: the last sentence, or the second half where there is but one."""
     parts = [p for p in (_WORD.findall(x) for x in _SENTENCE.split(_FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes())) if p]
@@ -52,8 +114,31 @@ def shingles(words: Sequence[bytes]) -> set[bytes]:
     return {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
 
 
-def holds(words: Sequence[bytes], part: Sequence[bytes]) -> bool:
-    """Whether a passage holds at least ``OVERLAP`` of the part's five-word shingles (of the whole part where it is shorter)."""
+class Item:
+    """What a passage has to hold of an item: its question and its answer, or enough of both together."""
+
+    def __init__(self, text: str):
+        question, answer = map(bare, question_and_answer(text))
+        self.parts = [(min(SHINGLE, len(p)), shingles(p)) for p in (question, answer)]
+        self.whole = (min(SHINGLE, len(question) + len(answer)), shingles(question + answer))
+
+    def within(self, words: Sequence[bytes]) -> bool:
+        have: dict[int, set[bytes]] = {}
+
+        def enough(n: int, want: set[bytes]) -> bool:
+            if n not in have:
+                have[n] = {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+            return len(want & have[n]) >= OVERLAP * len(want)
+
+        return all(enough(*p) for p in self.parts) or enough(*self.whole)
+
+
+def holds(words: Sequence[bytes], part: Sequence[bytes] | Item) -> bool:
+    """Whether a passage holds at least ``OVERLAP`` of the part's five-word shingles (of the whole part where it is shorter), or an item."""
+    words = bare(words)
+    if isinstance(part, Item):
+        return part.within(words)
+    part = bare(part)
     want = shingles(part)
     if not want:
         return True
@@ -66,7 +151,7 @@ class Index:
     """Impacts of terms in items, by blocks of items, with what pruning needs."""
 
     def __init__(self, items: Sequence[tuple[int, str]]):
-        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0], x[1])) if _WORD.search(t.encode())]
+        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0], x[1])) if bare(_WORD.findall(t.encode()))]
         words = Words(*buffer_of(pa.array([t for _, t in items], pa.large_string())))
         words = Words(_FOLD[words.buf], words.offs)
         hashed = words.hashes()
@@ -81,7 +166,7 @@ class Index:
         own = impact.sum(0)
         order = np.argsort(own, kind="stable")
         self.ids = [items[k][0] for k in order]
-        self.parts = [question_and_answer(items[k][1]) for k in order]
+        self.parts = [(Item(items[k][1]),) for k in order]
         self.impact, self.threshold = impact[:, order], SHARE * own[order]
         self.cuts = list(range(0, n, BLOCK))
         most = np.stack([self.impact[:, a : a + BLOCK].max(1) for a in self.cuts], 1) if n else np.zeros((0, 0), np.float32)
@@ -155,7 +240,7 @@ class Index:
             retrieved[text] += 1
             if self.ids[item] not in found[text]:
                 passage = [words.buf[a:b].tobytes() for a, b in zip(words.starts[first:last].tolist(), words.ends[first:last].tolist())]
-                if all(holds(passage, part) for part in self.parts[item]):
+                if all(part.within(passage) for part in self.parts[item]):
                     found[text].add(self.ids[item])
         return n, retrieved, [sorted(x) for x in found]
 
