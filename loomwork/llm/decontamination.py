@@ -37,7 +37,7 @@ SHARE = 0.6
 BLOCK = 8
 PASSED_BY = 0.3
 SHINGLE, OVERLAP = 5, 0.8
-LEAST_STRIDE, MOST_STRIDE = 64, 512
+LEAST_STRIDE = 64
 MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -180,7 +180,7 @@ class Index:
         self.most = most
         self.near = np.zeros(1 << 18, bool)
         self.near[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-        self.stride = int(np.clip(max(length, default=1), LEAST_STRIDE, MOST_STRIDE))
+        self.stride = max(LEAST_STRIDE, int(max(length, default=1)))
 
     def term_of(self, hashed: np.ndarray) -> np.ndarray:
         """The term number of each word, or -1."""
