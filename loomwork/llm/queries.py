@@ -76,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_url_filters": url_filters.ORACLE_SQL,
+    "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }
