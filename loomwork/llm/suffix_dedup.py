@@ -36,7 +36,7 @@ SLICE = 2 << 20
 """Bytes of text of a slice, the unit that hashes and repeats belong to."""
 PART = 16 << 20
 """Bytes of corpus for each part of the anchors."""
-BATCH = 3 << 20
+BATCH = 3 << 18
 """Bytes of runs whose suffixes are sorted together; no anchor is cut."""
 HOT = 10_000
 """Places from which an anchor's runs are cut by longer byte strings."""
@@ -253,18 +253,19 @@ def suffix_ranks(symbols: np.ndarray, span: int, window: int) -> np.ndarray:
     sample = np.concatenate([np.arange(1, n, 3), np.arange(2, n, 3)])
     if not len(sample):
         return np.zeros(n, np.int64)
-    head, tail = padded[sample] << 31 | padded[sample + 1], padded[sample + 2]
-    order = np.lexsort((tail, head))
-    new = np.append(True, (head[order[1:]] != head[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]]))
+    pair = np.unique(padded[sample] << 31 | padded[sample + 1], return_inverse=True)[1].astype(np.int64)
+    triple = pair << 31 | padded[sample + 2]
+    order = np.argsort(triple)
+    new = np.append(True, triple[order[1:]] != triple[order[:-1]])
     name = np.empty(len(sample), np.int64)
     name[order] = np.cumsum(new)
     if 3 * span < window and name[order[-1]] < len(sample):
         name = suffix_ranks(name, 3 * span, window) + 1
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = name
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(padded[zero] << 31 | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(padded[zero] << 31 | rank[zero + 1])]
     by = sample[order]
     one, two = by[by % 3 == 1], by[by % 3 == 2]
     less = np.searchsorted(padded[one] << 31 | rank[one + 1], padded[zero] << 31 | rank[zero + 1])
@@ -293,7 +294,7 @@ def later_windows(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
     place = np.arange(n)
     table[place % span, place // span] = code + 1
     ranks = suffix_ranks(table.reshape(-1) + 1, span, window).reshape(span, rows + 12)[starts % span, starts // span]
-    order = starts[np.argsort(ranks, kind="stable")]
+    order = starts[np.argsort(ranks)]
     same = np.ones(max(len(order) - 1, 0), bool)
     for k in sorted({*range(0, window - span + 1, span), window - span}):
         symbol = code[order + k]
