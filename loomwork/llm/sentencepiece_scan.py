@@ -2,7 +2,8 @@
 
 ``tokenized`` encodes by the method the model file names. The scores of a BPE file are merge ranks,
 so its texts are encoded by merges: the library encodes each distinct stretch between forced cuts
-(places that no piece spans), and a giant text is split into chunks at forced cuts only.
+(places that no piece spans), and a giant text is split into chunks anywhere, whose max-plus
+matrices weigh neighbouring pieces by whether merging leaves them as they are (``_merged_giants``).
 
 For a unigram model (and in ``encode`` and ``encode_ids``, whatever the file) a text is encoded as the best-scoring chain of vocabulary pieces (Viterbi over the scores that the
 model file gives; scores are whole numbers, so sums are exact in any order). Characters outside the
@@ -23,18 +24,20 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.scratch import stored
+from loomwork.llm.scratch import parts, stored
 from loomwork.llm.textnp import mix, slices
 
 GIANT, CHUNK = 65_536, 16_384
 """Characters beyond which a text is split, and characters of a chunk."""
+BLOCK = 64
+"""Chunks whose matrices are multiplied together."""
 MEMO_WORDS = 300_000
 MARK, OWN_MARK = "▁", "\ud800"
 """The space mark; and what stands for that character in a text itself (no text can hold a lone surrogate)."""
@@ -105,6 +108,8 @@ class Merges:
         self.lead = (self.alone or "\n")[:1]
         self.led = len(model.encode(self.lead))
         self.memo: dict[str, bytes] = {}
+        self.unit_ids: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         out = {w: self.own if w == OWN_MARK else self.lone for w in words if w in (OWN_MARK, MARK)}
@@ -129,15 +134,123 @@ class Merges:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return self.encode_marked([marked(t) for t in texts])
 
-    def chunks(self, x: str, size: int) -> Iterator[str]:
-        """Parts of a marked text of at least ``size`` characters, split at forced cuts only."""
-        start = 0
-        for m in self.stretch.finditer(x):
-            if m.end() - start >= size:
-                yield x[start : m.end()]
-                start = m.end()
-        if start < len(x):
-            yield x[start:]
+    @cached_property
+    def units(self) -> set[str]:
+        return {self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))}
+
+    @cached_property
+    def reach(self) -> int:
+        return max(map(len, self.units))
+
+    @cached_property
+    def cut(self) -> re.Pattern:
+        alone = re.escape(self.alone) + OWN_MARK
+        return re.compile(f"(?<=[^{MARK}])(?={MARK})|(?<=[{alone}])|(?=[{alone}])" if self.cuts else f"(?<={OWN_MARK})|(?={OWN_MARK})")
+
+    def is_cut(self, x: str, at: int) -> bool:
+        return at == 0 or bool(self.cut.match(x, at))
+
+    def ids_of(self, unit: str) -> bytes:
+        """Ids of a piece, or of a character outside the vocabulary."""
+        if unit not in self.unit_ids:
+            known = unit in self.units and unit != OWN_MARK
+            self.unit_ids[unit] = np.array([self.model.piece_to_id(unit)], "<u4").tobytes() if known else self.encode_marked([unit])[0]
+        return self.unit_ids[unit]
+
+    def fits(self, a: str, b: str) -> bool:
+        """Whether b may follow a: merging the two together leaves just these two. An empty a stands for a forced cut."""
+        key = (a, b)
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 4 * MEMO_WORDS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.encode_marked([a + b])[0] == (self.ids_of(a) if a else b"") + self.ids_of(b)
+        return known
+
+    def states(self, x: str, at: int, last: bool) -> list[tuple[int, str]]:
+        """What a chain may look like at a boundary: (place, piece that ends there), back to a forced cut, which is one state."""
+        out: list[tuple[int, str]] = []
+        for p in range(at, max(-1, at - self.reach), -1):
+            if self.is_cut(x, p) or last and p == len(x):
+                return [*out, (p, "")]
+            out += [(p, x[p - n : p]) for n in range(1, min(self.reach, p) + 1) if n == 1 or x[p - n : p] in self.units]
+        return out
+
+    def reached(self, x: str, seeds: dict[tuple[int, str], int], start: int, to: int) -> list[dict[str, int]]:
+        """For each place up to ``to``, the pieces that end there on a chain from a seed, with the set of its seeds as bits."""
+        at: list[dict[str, int]] = [{} for _ in range(to + 1)]
+        for (p, piece), bit in seeds.items():
+            at[p][piece] = bit
+        for j in range(start + 1, to + 1):
+            here = at[j]
+            for i in range(max(0, j - self.reach), j):
+                before = at[i]
+                if before and (i == j - 1 or x[i:j] in self.units):
+                    t = x[i:j]
+                    bits = 0
+                    for a, m in before.items():
+                        if self.fits(a, t):
+                            bits |= m
+                    if bits:
+                        here[t] = bits
+        return at
+
+    def around(self, x: str, at: int, end: int, last: bool) -> tuple[int, int] | None:
+        """The first and the last forced cut from ``at`` to ``end``."""
+        first = at if self.is_cut(x, at) else next((m.start() for m in self.cut.finditer(x, at)), end + 1)
+        if first > end:
+            return (end, end) if last else None
+        if last:
+            return first, end
+        found = [m.start() for m in self.cut.finditer(x, max(first, end - 256))] or [m.start() for m in self.cut.finditer(x, first)]
+        return first, max([c for c in found if c <= end], default=first)
+
+    def matrix(self, x: str, at: int, last: bool) -> np.ndarray:
+        """Of a chunk x[at:], with one character more unless it is the text's last: [entry, exit] is 0 where a chain leads from the entry state to the exit state else NEVER (a max-plus matrix)."""
+        end = len(x) - (not last)
+        entry, out = self.states(x, at, False), self.states(x, end, last)
+        m = np.full((len(entry), len(out)), NEVER)
+        cuts = self.around(x, at, end, last)
+        seeds = {s: 1 << k for k, s in enumerate(entry)}
+        if cuts is None:
+            got = self.reached(x, seeds, at, end)
+            bits = [got[p].get(piece, 0) for p, piece in out]
+        else:
+            head = self.reached(x, seeds, at, cuts[0])[cuts[0]]
+            alive = 0
+            for v in head.values():
+                alive |= v
+            tail = self.reached(x, {(cuts[1], ""): 1}, cuts[1], end)
+            bits = [alive if (p == cuts[1] and not piece) or (p >= cuts[1] and tail[p].get(piece)) else 0 for p, piece in out]
+        for f, b in enumerate(bits):
+            for e in range(len(entry)):
+                if b >> e & 1:
+                    m[e, f] = 0
+        return m
+
+    def back(self, x: str, at: list[dict[str, int]], end: int, piece: str, start: int) -> list[str]:
+        """The pieces of the chain that ends with ``piece`` at ``end``, back to what ends at ``start`` or before."""
+        out = []
+        while end > start and piece:
+            out.append(piece)
+            end -= len(piece)
+            if end > start:
+                piece = next(a for a in at[end] if self.fits(a, piece))
+        return out[::-1]
+
+    def part(self, x: str, at: int, last: bool, entry: int, leave: int) -> bytes:
+        """Ids of the pieces after the entry state up to the exit state, traced back within the chunk."""
+        p, piece = self.states(x, at, False)[entry]
+        end = len(x) - (not last)
+        q, final = self.states(x, end, last)[leave]
+        cuts = self.around(x, at, end, last)
+        if cuts is None:
+            got = self.reached(x, {(p, piece): 1}, at, end)
+            return b"".join(map(self.ids_of, self.back(x, got, q, final, p)))
+        head = self.reached(x, {(p, piece): 1}, at, cuts[0])
+        first = self.back(x, head, cuts[0], next(iter(head[cuts[0]])), p) if cuts[0] > p else []
+        tail = self.back(x, self.reached(x, {(cuts[1], ""): 1}, cuts[1], end), q, final, cuts[1])
+        return b"".join(map(self.ids_of, first)) + self.encode_marked([x[cuts[0] : cuts[1]]])[0] + b"".join(map(self.ids_of, tail))
 
 
 class Lattice:
@@ -439,23 +552,90 @@ def _gather(path: str):
     return gather
 
 
+def threaded(matrices: list[np.ndarray], first: np.ndarray, leave: int) -> list[tuple[int, int]]:
+    """Entry and exit state of each of a row of chunks: entry scores forward, then the one way that leads to ``leave`` back."""
+    scores, out = [first], []
+    for m in matrices[:-1]:
+        scores.append(combined(scores[-1], m))
+    for v, m in zip(reversed(scores), reversed(matrices)):
+        entry = int(np.argmax(v[0] + m[:, leave]))
+        out.append((entry, leave))
+        leave = entry
+    return out[::-1]
+
+
+def _only(n: int, at: int) -> np.ndarray:
+    out = np.full((1, n), NEVER)
+    out[0, at] = 0
+    return out
+
+
 def _merged_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
-    """digest and results of distinct giant texts by BPE merges: every chunk between forced cuts on its own."""
+    """digest and results of distinct giant texts by BPE merges, as a max-plus scan over chunks.
+
+    A chain of pieces is what merging gives if and only if each two neighbours stay as they are when
+    merged on their own. So pairs that fit weigh 0 and others never, a boundary's states are the pieces
+    that may end about it, and a chunk is a max-plus matrix between the states of its two boundaries.
+    Blocks of chunks multiply their matrices, the blocks' products give each block its entry and exit
+    state, those give each chunk its own, and every chunk is traced back by itself.
+    """
+    n = parts(texts.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = merges(path).reach
         for batch in batches:
             for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
-                for k, x in enumerate(merges(path).chunks(marked(text), chunk)):
-                    yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([k], pa.int32()), pa.array([x.encode("utf-8", "surrogatepass")], pa.binary())], names=["digest", "k", "body"])
+                x = marked(text)
+                for k, a in enumerate(range(0, len(x), chunk)):
+                    low = max(0, a - 2 * reach)
+                    body = x[low : a + chunk + 1].encode("utf-8", "surrogatepass")
+                    yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([k], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([a - low], pa.int32()), pa.array([a + chunk >= len(x)]), pa.array([body], pa.binary())], names=["digest", "k", "block", "at", "last", "body"])
+
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [merges(path).matrix(b.decode("utf-8", "surrogatepass"), at, last) for b, at, last in zip(batch.column("body").to_pylist(), batch.column("at").to_pylist(), batch.column("last").to_pylist())]
+            yield _matrices([*batch.select(["digest", "k", "block"]).columns], made, ["digest", "k", "block"])
+
+    def product(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+        whole = _matrix(rows[0])
+        for r in rows[1:]:
+            whole = combined(whole, _matrix(r))
+        return pa.Table.from_batches([_matrices([pa.array([rows[0]["digest"]]), pa.array([rows[0]["block"]], pa.int32())], [whole], ["digest", "block"])])
+
+    def blocks(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        matrices = [_matrix(r) for r in rows]
+        ways = threaded(matrices, _only(len(matrices[0]), 0), 0)
+        return pa.table([pa.array([r["digest"] for r in rows]), pa.array([r["block"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "block", "entry", "leave"])
+
+    def within(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+        matrices = [_matrix(r) for r in rows]
+        ways = threaded(matrices, _only(len(matrices[0]), rows[0]["entry"]), rows[0]["leave"])
+        return pa.table([pa.array([r["digest"] for r in rows]), pa.array([r["k"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "k", "entry", "leave"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "body"):
-                ids = merges(path).encode_marked([b.decode("utf-8", "surrogatepass") for b in part.column("body").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("k"), pa.array(ids, pa.binary())], names=["digest", "k", "ids"])
+            ids = [merges(path).part(r["body"].decode("utf-8", "surrogatepass"), r["at"], r["last"], r["entry"], r["leave"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("k"), pa.array(ids, pa.binary())], names=["digest", "k", "ids"])
+
+    chunks = stored(texts.mapInArrow(split, "digest string, k int, block int, at int, last boolean, body binary").repartition(n, "digest", "k"), "chunks")
+    made = stored(chunks.repartition(n, "digest", "k").mapInArrow(transfer, "digest string, k int, block int, wide int, m binary"), "matrices")
+    products = made.groupBy("digest", "block").applyInArrow(product, "digest string, block int, wide int, m binary")
+    ways = products.groupBy("digest").applyInArrow(blocks, "digest string, block int, entry int, leave int")
+    each = made.join(ways, ["digest", "block"]).groupBy("digest", "block").applyInArrow(within, "digest string, k int, entry int, leave int")
+    ids = chunks.join(each, ["digest", "k"]).repartition(n, "digest", "k").mapInArrow(emit, "digest string, k int, ids binary")
+    return ids.groupBy("digest").applyInArrow(_gather(path), f"digest string, {_RESULT}")
+
+
+def _matrices(columns: list[pa.Array], made: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    wide = pa.array([m.shape[1] for m in made], pa.int32())
+    return pa.RecordBatch.from_arrays([*columns, wide, pa.array([(m == 0).astype(np.uint8).tobytes() for m in made], pa.binary())], names=[*names, "wide", "m"])
+
 
-    chunks = texts.mapInArrow(split, "digest string, k int, body binary").repartition("digest", "k")
-    return chunks.mapInArrow(emit, "digest string, k int, ids binary").groupBy("digest").applyInArrow(_gather(path), f"digest string, {_RESULT}")
+def _matrix(r: dict) -> np.ndarray:
+    return np.where(np.frombuffer(r["m"], np.uint8).reshape(-1, r["wide"]) > 0, 0, NEVER)
 
 
 def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
