@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -194,6 +195,8 @@ class Index:
         self.item, self.score = place[item][by], impact[by]
         self.first = np.searchsorted(term[by], np.arange(len(self.terms) + 1))
         self._blocks(term[by])
+        self.needed = (self.threshold * (1 - 1e-5)).tolist()
+        self.lists: dict[int, tuple[list[int], list[float], dict[int, float], float]] = {}
         self.near = np.zeros(1 << 18, bool)
         self.near[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         self.stride = max(LEAST_STRIDE, known.longest)
@@ -250,19 +253,26 @@ class Index:
             out[a : a + m] = (bound.reshape(m, self.n_blocks) + self.passed >= self.lowest * (1 - 1e-5)).any(1)
         return out
 
+    def postings(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
+        """Items, impacts, block maxima and largest impact of a term, as kept by the task."""
+        known = self.lists.get(term)
+        if known is None:
+            a, z = self.first[term], self.first[term + 1]
+            c, d = self.first_block[term], self.first_block[term + 1]
+            known = self.lists[term] = (self.item[a:z].tolist(), self.score[a:z].tolist(), dict(zip(self.block[c:d].tolist(), self.most[c:d].tolist())), float(self.top[term]))
+        return known
+
     def wand(self, terms: Sequence[int]) -> list[int]:
         """All items that reach their thresholds with these terms."""
-        cursors = []
-        for t in terms:
-            a, z = int(self.first[t]), int(self.first[t + 1])
-            cursors.append([int(self.item[a]), a, z, float(self.top[t]), t])
-        out, slack, end = [], 1 - 1e-5, len(self.ids)
+        lists = [self.postings(t) for t in terms]
+        cursors = [(p[0][0], k, 0) for k, p in enumerate(lists)]  # item, list, place in it
+        least, out, end = self.needed, [], len(self.ids)
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                total += c[3]
-                if total >= self.threshold[c[0]] * slack:
+            for k, (item, c, _) in enumerate(cursors):
+                total += lists[c][3]
+                if total >= least[item]:
                     pivot = k
                     break
             if pivot < 0:
@@ -271,24 +281,25 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block, bound = item // BLOCK, 0.0
-            for c in cursors[: pivot + 1]:
-                a, z = self.first_block[c[4]], self.first_block[c[4] + 1]
-                k = a + int(np.searchsorted(self.block[a:z], block))
-                bound += float(self.most[k]) if k < z and self.block[k] == block else 0.0
+            for _, c, _ in cursors[: pivot + 1]:
+                bound += lists[c][2].get(block, 0.0)
             to = item
-            if bound < self.threshold[item] * slack:  # nothing in this block before the next cursor
+            if bound < least[item]:  # thresholds rise with the item, so the rest of the block misses them too
                 to = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end)
-                # thresholds rise with the item, so what this one misses the rest of its block misses too
             elif cursors[0][0] == item:
-                score = sum(float(self.score[c[1]]) for c in cursors[: pivot + 1])
-                if score >= self.threshold[item] * slack:
+                if sum(lists[c][1][at] for _, c, at in cursors[: pivot + 1]) >= least[item]:
                     out.append(item)
                 to = item + 1
-            for c in cursors[: pivot + 1]:
-                if c[0] < to:
-                    c[1] += int(np.searchsorted(self.item[c[1] : c[2]], to))
-                    c[0] = int(self.item[c[1]]) if c[1] < c[2] else end
-            cursors = [c for c in cursors if c[0] < end]
+            moved = []
+            for here, c, at in cursors[: pivot + 1]:
+                if here < to:
+                    items = lists[c][0]
+                    at = bisect_left(items, to, at)
+                    if at == len(items):
+                        continue
+                    here = items[at]
+                moved.append((here, c, at))
+            cursors[: pivot + 1] = moved
         return out
 
     def retrieve(self, words: Words) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
