@@ -1,10 +1,13 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Each word enters with word and character inputs: the label association of its form, the mean
-association of its character n-grams and the largest among the longest of them. Overlapping word windows run through
-a forward and a backward GRU; attention pools the states of a window to one logit; a text scores as
-its highest window. The network is trained in numpy on the driver from a bounded sample of labelled
-rows; scoring is one scan in which every window of every text is computed in array batches.
+Each word enters as learned vectors: one of its form and two, a mean and a largest value by
+dimension, over those of its character n-grams. Overlapping word windows run through a forward and
+a backward GRU; attention pools the states of a window to one logit. A text scores by its highest
+windows, so that words which only together tell stand beside words which tell alone. Vectors and
+network are trained together in numpy on the driver from a bounded sample of labelled rows, on
+windows of their whole texts; vectors start near zero, but for one dimension that starts from how
+much the training rows' labels go with the feature. Scoring is one scan in which every window of
+every text is computed in array batches.
 """
 
 from __future__ import annotations
@@ -20,11 +23,17 @@ from pyspark.sql import functions as F
 from loomwork.llm.textnp import Words, buffer_of, mix, slices
 
 WINDOW, STRIDE = 24, 12
-HIDDEN, INPUTS = 8, 4
-GRAMS = (3, 4, 5)
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 600, 1200, 5_000
-"""Training takes at most this many labelled rows of each kind, none longer than so many bytes: at most 9 MB of text on the driver."""
+HIDDEN, OF_WORD, OF_MEAN, OF_MOST = 8, 6, 3, 3
+INPUTS = OF_WORD + OF_MEAN + OF_MOST
+GRAMS = (3, 5, 7)
+RANKS = (0, 2, 4)
+"""A text's logit comes from its windows of these ranks."""
+LEAST_ROWS = (3, 6)
+"""Words and n-grams of fewer training rows have no vector."""
+MAX_TOXIC, MAX_CLEAN = 600, 1200
+"""Training takes at most this many labelled rows of each kind, whatever their length."""
 CUTOFF = 0.3
+VECTOR_RATE = 0.05
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -60,33 +69,15 @@ class Tokens:
             grams.append(mix(code))
             owners.append(owner[fits].astype(np.int32))
         self.gram, self.owner = np.concatenate(grams), np.concatenate(owners)
-        self.longest = len(self.gram) - len(grams[-1])
 
-    def inputs(self, model: Model) -> np.ndarray:
-        """INPUTS values for each distinct word."""
-        n = len(self.distinct)
-        out = np.zeros((n, INPUTS), np.float32)
-        if n:
-            order = np.argsort(self.owner, kind="stable")
-            cuts = np.searchsorted(self.owner[order], np.arange(n))
-            found = model.grams.of(self.gram)
-            values = found[order]
-            have = np.bincount(self.owner, minlength=n)
-            some = have > 0
-            out[:, 0] = model.words.of(self.distinct)
-            out[:, 1] = self.longest_of(found, n)
-            out[some, 2] = np.add.reduceat(values, cuts[some]) / have[some]
-            out[:, 3] = 1
-        return out
-
-    def longest_of(self, values: np.ndarray, n: int) -> np.ndarray:
-        """The largest value of each word's longest n-grams, which stand last and in order of words."""
-        out = np.zeros(n, np.float32)
-        owner = self.owner[self.longest :]
+    def known(self, model: Model) -> Known:
+        """Which vectors each distinct word has: its own, and those of its n-grams in order of words."""
+        at = model.grams.of(self.gram)
+        some = np.flatnonzero(at >= 0)
+        order = some[np.argsort(self.owner[some], kind="stable")]
+        owner = self.owner[order]
         cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        if len(cuts):
-            out[owner[cuts]] = np.maximum.reduceat(values[self.longest :], cuts)
-        return out
+        return Known(model.words.of(self.distinct), at[order], owner, cuts, np.maximum(np.bincount(self.owner, minlength=len(self.distinct)), 1).astype(np.float32))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """All overlapping windows, as distinct-word numbers (-1 past the end of the text), and the row of each. A wordless text has one empty window."""
@@ -99,38 +90,83 @@ class Tokens:
         return np.where(real, self.word[at] if len(self.word) else -1, -1), row
 
 
-class Table:
-    """Values of hashed features; all others have 0."""
+class Keys:
+    """Places of hashed features in a list; all others have -1."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
         self.near = np.zeros(1 << 16, bool)
         self.near[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def of(self, hashed: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashed), np.float32)
+        out = np.full(len(hashed), -1, np.int64)
         some = np.flatnonzero(self.near[(hashed & np.uint64(0xFFFF)).astype(np.int64)])
         if len(some) and len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashed[some]), len(self.keys) - 1)
-            out[some] = np.where(self.keys[at] == hashed[some], self.values[at], 0)
+            out[some] = np.where(self.keys[at] == hashed[some], at, -1)
         return out
 
 
-def _no_table() -> Table:
-    return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+@dataclass
+class Known:
+    """Vectors of distinct words: ``word`` (or -1); ``gram`` by ``owner``, runs of which start at ``cuts``; n-grams of each word."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    owner: np.ndarray
+    cuts: np.ndarray
+    grams: np.ndarray
+
+    def inputs(self, model: Model) -> np.ndarray:
+        """INPUTS values for each distinct word."""
+        out = np.zeros((len(self.word), INPUTS), np.float32)
+        have = self.word >= 0
+        out[have, :OF_WORD] = model.word_vectors[self.word[have]]
+        if len(self.cuts):
+            vectors, owner = model.gram_vectors[self.gram], self.owner[self.cuts]
+            out[owner, OF_WORD : OF_WORD + OF_MEAN] = np.add.reduceat(vectors[:, :OF_MEAN], self.cuts) / np.sqrt(self.grams[owner])[:, None]
+            out[owner, OF_WORD + OF_MEAN :] = np.maximum.reduceat(vectors[:, OF_MEAN:], self.cuts)
+        return out
+
+    def of(self, some: np.ndarray) -> Known:
+        """The same for a few of the words."""
+        first = np.searchsorted(self.owner, (some, some + 1))
+        size = first[1] - first[0]
+        owner = np.repeat(np.arange(len(some)), size)
+        at = np.repeat(first[0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cuts = (np.cumsum(size) - size)[size > 0]
+        return Known(self.word[some], self.gram[at], owner, cuts, self.grams[some])
+
+    def step(self, model: Model, inputs: np.ndarray, slope: np.ndarray, spread: list[np.ndarray]) -> None:
+        """Move the vectors against the slope of their inputs, by rates that fall with what each has moved."""
+        have = self.word >= 0
+        moved = slope[have, :OF_WORD]
+        spread[0][self.word[have]] += moved * moved
+        model.word_vectors[self.word[have]] -= VECTOR_RATE * moved / np.sqrt(spread[0][self.word[have]])
+        used, at = np.unique(self.gram, return_inverse=True)
+        top = model.gram_vectors[self.gram][:, OF_MEAN:] == inputs[self.owner, OF_WORD + OF_MEAN :]
+        each = np.concatenate([slope[self.owner, OF_WORD : OF_WORD + OF_MEAN] / np.sqrt(self.grams[self.owner])[:, None], slope[self.owner, OF_WORD + OF_MEAN :] * top], 1)
+        moved = np.stack([np.bincount(at, weights=each[:, k], minlength=len(used)) for k in range(each.shape[1])], 1).astype(np.float32)
+        spread[1][used] += moved * moved
+        model.gram_vectors[used] -= VECTOR_RATE * moved / np.sqrt(spread[1][used])
+
+
+def _no_keys() -> Keys:
+    return Keys(np.zeros(0, np.uint64))
 
 
 @dataclass
 class Model:
-    words: Table = field(default_factory=_no_table)
-    grams: Table = field(default_factory=_no_table)
+    words: Keys = field(default_factory=_no_keys)
+    grams: Keys = field(default_factory=_no_keys)
+    word_vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, OF_WORD), np.float32))
+    gram_vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, OF_MEAN + OF_MOST), np.float32))
     net: dict[str, np.ndarray] = field(default_factory=dict)
-    scale: float = 0.0
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(len(RANKS) + 2))
     shift: float = -6.0
 
-    def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * logits.astype(np.float64) + self.shift, -30, 30)))
+    def probabilities(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.scale + self.shift, -30, 30)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -187,6 +223,7 @@ def backward(net: dict[str, np.ndarray], inputs: np.ndarray, kept, slope: np.nda
     score = weight * (each - (weight * each).sum(0))
     grad["att"] = (states * score[:, :, None]).sum((0, 1))
     ds = weight[:, :, None] * down + score[:, :, None] * net["att"]
+    fed_slope = np.zeros((*at.shape, INPUTS), np.float32)
     for way in "fb":
         part = slice(0, h) if way == "f" else slice(h, 2 * h)
         u = net["u" + way]
@@ -203,30 +240,31 @@ def backward(net: dict[str, np.ndarray], inputs: np.ndarray, kept, slope: np.nda
             da = np.concatenate([dz, dr, dn], 1)
             db = np.concatenate([dz, dr, dn * r], 1)
             gx += inputs[at[t]].T @ da if len(inputs) else 0
+            fed_slope[t] += da @ net["x" + way].T
             gs += da.sum(0)
             gu += before.T @ db
             carry = np.where(live, total * z, total) + db @ u.T
         grad["x" + way], grad["u" + way], grad["s" + way] = gx, gu, gs
+    grad["inputs"] = np.zeros((len(inputs), INPUTS), np.float32)
+    np.add.at(grad["inputs"], at[real], fed_slope[real])
     return grad
 
 
-def association(keys: np.ndarray, bucket: np.ndarray, row: np.ndarray, label: np.ndarray, used: np.ndarray) -> Table:
-    """How much more often toxic rows hold each feature than clean ones, as a logarithm brought to 0..1.
+def association(feature: np.ndarray, n: int, row: np.ndarray, label: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """How much more often toxic rows hold each of n features than clean ones, as a logarithm brought to 0..1.
 
-    ``bucket`` (a place in ``keys``) and ``row`` are the distinct pairs. Features whose z value stays
-    below the level that the best of very many chance features reaches count as none; with more toxic
-    rows real features stand higher above it, so that level is set higher.
+    ``feature`` and ``row`` are the distinct pairs. Features whose z value stays below the level that the
+    best of very many chance features reaches count as none; with more toxic rows real features stand
+    higher above it, so that level is set higher.
     """
     toxic, clean = max(1, int(label[used].sum())), max(1, int((1 - label[used]).sum()))
-    bucket, row = bucket[used[row]], row[used[row]]
-    t = np.bincount(bucket, weights=label[row], minlength=len(keys))
-    c = np.bincount(bucket, weights=1 - label[row], minlength=len(keys))
+    t = np.bincount(feature, weights=label[row], minlength=n)
+    c = np.bincount(feature, weights=1 - label[row], minlength=n)
     share = np.clip((t + c) / (toxic + clean), 1e-9, 1 - 1e-9)
     z = (t / toxic - c / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     floor = np.clip(0.25 * np.sqrt(toxic), 3.5, 6)
     often = np.log(np.maximum(t, 1e-9) / toxic) - np.log((c + 0.5) / clean)
-    value = (np.clip(often / 4, 0, 1) * np.clip((z - floor) / floor, 0, 1)).astype(np.float32)
-    return Table(keys[value > 0], value[value > 0])
+    return (np.clip(often / 4, 0, 1) * np.clip((z - floor) / floor, 0, 1)).astype(np.float32)
 
 
 def unlike(texts: list[str]) -> np.ndarray:
@@ -245,95 +283,130 @@ def unlike(texts: list[str]) -> np.ndarray:
     return keep
 
 
-def _top(scores: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The highest score of each row and the window that has it."""
-    order = np.lexsort((scores, row))
-    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True))
-    return scores[order[last]], order[last]
+def _ranked(scores: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n rows, its scores of RANKS (the least it has where it has fewer), how many windows are likely and log windows; and its windows from the highest down."""
+    order = np.lexsort((-scores, row))
+    first = np.searchsorted(row[order], np.arange(n + 1))
+    size = np.diff(first)
+    at = np.stack([first[:-1] + np.minimum(k, size - 1) for k in RANKS], 1)
+    likely = np.log1p(np.bincount(row, weights=_sigmoid(np.clip(scores, -30, 30)), minlength=n))
+    return np.concatenate([scores[order][at].astype(np.float64), likely[:, None], np.log(size)[:, None]], 1), order
+
+
+def _vocabulary(feature: np.ndarray, n: int, row: np.ndarray, label: np.ndarray, used: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features with a vector, and their association."""
+    value = association(feature, n, row, label, used)
+    kept = np.flatnonzero((np.bincount(feature, minlength=n) >= least) | (value > 0))
+    return kept, value[kept]
+
+
+def _start(tokens: Tokens, label: np.ndarray, used: np.ndarray, rng: np.random.Generator) -> Model:
+    """A model whose vectors start near zero, but for the association of words and n-grams with the label."""
+    model, n_words = Model(), len(tokens.distinct)
+    pairs = np.unique(tokens.row * np.int64(n_words + 1) + tokens.word)
+    row, word = pairs // (n_words + 1), pairs % (n_words + 1)
+    row, word = row[used[row]], word[used[row]]
+    kept, value = _vocabulary(word, n_words, row, label, used, LEAST_ROWS[0])
+    model.words = Keys(tokens.distinct[kept])
+    model.word_vectors = rng.normal(0, 0.05, (len(kept), OF_WORD)).astype(np.float32)
+    model.word_vectors[:, 0] += value  # distinct words are sorted, as keys are
+    keys, gram = np.unique(tokens.gram, return_inverse=True)
+    order = np.argsort(tokens.owner, kind="stable")
+    gram, have = gram[order], np.bincount(tokens.owner, minlength=n_words)
+    begin, held = np.cumsum(have) - have, []
+    for at in range(0, len(word), 50_000):
+        w, r = word[at : at + 50_000], row[at : at + 50_000]
+        n = have[w]
+        place = np.repeat(begin[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        held.append(np.unique(gram[place].astype(np.int64) * len(label) + np.repeat(r, n)))
+    pairs = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    kept, value = _vocabulary(pairs // len(label), len(keys), pairs % len(label), label, used, LEAST_ROWS[1])
+    model.grams = Keys(keys[kept])
+    model.gram_vectors = rng.normal(0, 0.02, (len(kept), OF_MEAN + OF_MOST)).astype(np.float32)
+    model.gram_vectors[:, OF_MEAN] += value
+    model.net = start_net()
+    return model
+
+
+def _logits(model: Model, inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return np.concatenate([forward(model.net, inputs, windows[a : a + 4096]) for a in range(0, len(windows), 4096)])
 
 
-def train(texts: list[str], label: np.ndarray, rounds: int = 3, steps: int = 240, seed: int = 7) -> Model:
-    """A model from texts and labels 0/1. With no texts, or only one label, the score is constant."""
-    model = Model()
+def train(texts: list[str], label: np.ndarray, rounds: int = 4, steps: int = 100, seed: int = 7) -> Model:
+    """A model from texts and labels 0/1. With no texts, or only one label, the score is constant.
+
+    A round trains on the highest window of each text and the second of clean ones, by the model so far, and
+    as many others of clean texts. Every fourth text of either label trains nothing: on those the
+    weights of a text's windows are fitted, so that they don't rest on what the network has learnt by heart.
+    """
     label = np.asarray(label, np.float64)
     keep = unlike(texts)
     texts, label = [t for t, k in zip(texts, keep) if k], label[keep]
     if not len(label) or label.min() == label.max():
-        if len(label):
-            model.shift = 6.0 if label[0] else -6.0
-        return model
+        return Model(shift=6.0 if len(label) and label[0] else -6.0)
+    rng = np.random.default_rng(seed)
     tokens = Tokens(pa.array(texts, pa.large_string()))
-    rows_of_words = np.unique(tokens.row * np.int64(len(tokens.distinct) + 1) + tokens.word)
-    row, word = rows_of_words // (len(tokens.distinct) + 1), rows_of_words % (len(tokens.distinct) + 1)
-    order = np.argsort(tokens.owner, kind="stable")
-    keys, gram = np.unique(tokens.gram, return_inverse=True)
-    gram, have = gram[order], np.bincount(tokens.owner, minlength=len(tokens.distinct))
-    begin = np.cumsum(have) - have
-    held: list[np.ndarray] = []
-    for at in range(0, len(word), 50_000):
-        w, r = word[at : at + 50_000], row[at : at + 50_000]
-        n = have[w]
-        place = np.repeat(begin[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        held.append(np.unique(gram[place].astype(np.int64) * len(label) + np.repeat(r, n)))
-    pairs = np.unique(np.concatenate(held))
-    fold = np.where(label > 0, np.cumsum(label), np.cumsum(1 - label)).astype(np.int64) % 2
-    inputs = []
-    for used in (fold == 1, fold == 0, fold >= 0):  # what trains on a half of the rows enters with the other half's tables
-        model.words = association(tokens.distinct, word, row, label, used)
-        model.grams = association(keys, pairs // len(label), pairs % len(label), label, used)
-        inputs.append(tokens.inputs(model))
-    inputs = np.concatenate(inputs[:2])
+    aside = np.where(label > 0, np.cumsum(label), np.cumsum(1 - label)) % 4 == 0
+    aside &= min(label[aside].sum(), (1 - label[aside]).sum()) > 0
+    model = _start(tokens, label, ~aside, rng)
+    known = tokens.known(model)
     windows, owner = tokens.windows()
-    windows = np.where(windows >= 0, windows + (fold[owner] * len(tokens.distinct))[:, None], -1)
-    net, rng = start_net(seed), np.random.default_rng(seed)
-    first = {k: np.zeros_like(v) for k, v in net.items()}
-    second = {k: np.zeros_like(v) for k, v in net.items()}
-    strength = np.append(inputs[:, 0] + inputs[:, 1], 0)
+    inputs = known.inputs(model)
+    strength = np.append(inputs[:, 0] + inputs[:, OF_WORD + OF_MEAN], 0)
     scores, step = strength[windows].max(1), 0
+    first = {k: np.zeros_like(v) for k, v in model.net.items()}
+    second = {k: np.zeros_like(v) for k, v in model.net.items()}
+    spread = [np.full(v.shape, 1e-3, np.float32) for v in (model.word_vectors, model.gram_vectors)]
+    clean = np.flatnonzero((label[owner] == 0) & ~aside[owner])
     for _ in range(rounds):
-        _, best = _top(scores, owner, len(label))
-        clean = np.flatnonzero(label[owner] == 0)
-        chosen = np.concatenate([best, rng.choice(clean, min(len(clean), int((label == 0).sum())), replace=False)])
+        _, order = _ranked(scores, owner, len(label))
+        start = np.searchsorted(owner[order], np.arange(len(label) + 1))
+        best, second_best = order[start[:-1]], order[np.minimum(start[:-1] + 1, start[1:] - 1)]
+        chosen = np.concatenate([best[~aside], second_best[(label == 0) & ~aside], rng.choice(clean, min(len(clean), int((label == 0).sum())), replace=False)])
         target = label[owner[chosen]]
         weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())) * len(target)
         for _ in range(max(1, round(steps * 128 / len(chosen)))):
-            order = rng.permutation(len(chosen))
-            for at in range(0, len(order), 128):
-                some = order[at : at + 128]
-                logits, kept = forward(net, inputs, windows[chosen[some]], keep=True)
+            shuffled = rng.permutation(len(chosen))
+            for at in range(0, len(shuffled), 128):
+                some = shuffled[at : at + 128]
+                used, local = np.unique(windows[chosen[some]], return_inverse=True)
+                local = local.reshape(len(some), WINDOW) - int(used[0] < 0)
+                mine = known.of(used[used >= 0])
+                inputs = mine.inputs(model)
+                logits, kept = forward(model.net, inputs, local, keep=True)
                 slope = ((_sigmoid(logits) - target[some]) * weight[some] / len(some)).astype(np.float32)
                 step += 1
-                for k, g in backward(net, inputs, kept, slope).items():
+                grad = backward(model.net, inputs, kept, slope)
+                fed = grad.pop("inputs")
+                for k, g in grad.items():
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    net[k] -= (0.02 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        scores = np.concatenate([forward(net, inputs, windows[a : a + 4096]) for a in range(0, len(windows), 4096)])
-    model.net = net
-    model.scale, model.shift = _calibrate(_top(scores, owner, len(label))[0].astype(np.float64), label)
+                    model.net[k] -= (0.02 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                mine.step(model, inputs, fed, spread)
+        scores = _logits(model, known.inputs(model), windows)
+    model.scale, model.shift = _calibrate(*(x[aside] if aside.any() else x for x in (_ranked(scores, owner, len(label))[0], label)))
     return model
 
 
-def _calibrate(logits: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic fit of labels on the texts' highest logits, with a small penalty; Newton's method."""
-    x, w = np.stack([logits, np.ones(len(logits))], 1), np.array([1.0, 0.0])
+def _calibrate(features: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scales and shift of a logistic fit of labels on the texts' features, with a small penalty; Newton's method."""
+    x, w = np.concatenate([features, np.ones((len(features), 1))], 1), np.zeros(features.shape[1] + 1)
     for _ in range(25):
         p = _sigmoid(np.clip(x @ w, -30, 30))
-        slope = x.T @ (p - label) + 0.01 * (w - [1.0, 0.0])
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope)
-        w[0] = max(w[0], 0.05)
-    return float(w[0]), float(w[1])
+        slope = x.T @ (p - label) + 0.1 * w
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), slope)
+    return w[:-1], float(w[-1])
 
 
 def text_scores(model: Model, column: pa.Array) -> np.ndarray:
     if not model.net:
-        return model.probabilities(np.zeros(len(column)))
+        return model.probabilities(np.zeros((len(column), len(RANKS) + 2)))
     tokens = Tokens(column)
     windows, row = tokens.windows()
-    inputs = tokens.inputs(model)
-    logits = np.concatenate([forward(model.net, inputs, windows[a : a + 4096]) for a in range(0, len(windows), 4096)]) if len(windows) else np.zeros(0)
-    cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-    return model.probabilities(np.maximum.reduceat(logits, cuts)) if len(row) else logits
+    if not len(row):
+        return np.zeros(0)
+    return model.probabilities(_ranked(_logits(model, tokens.known(model).inputs(model), windows), row, len(column))[0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -341,14 +414,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of labelled, not held-out rows: ids first (a bounded list), then one scan that meets it by broadcast."""
+def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """Train on a bounded sample of labelled, not held-out rows: ids first (a bounded list), then one scan that meets it by broadcast.
+
+    An id labelled both ways is left out; of an id with several texts the least is taken, before any row
+    reaches the driver. Null texts are empty ones.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    some = [known.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    rows = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: r.text, reverse=True)}.values(), key=lambda r: r.doc_id)
+    some = [known.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    rows = sorted(found.collect(), key=lambda r: r.doc_id)
     return train([r.text for r in rows], np.array([r.toxic for r in rows]))
 
 
