@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.jobs import runs
 from loomwork.operators import agent, corpus, evaluation, grounding, quality, retrieval
 from loomwork.streaming import events as streams
 
@@ -259,6 +260,8 @@ _QUERY_FUNCTIONS = (
     arm_coverage, question_plan, evidence_verdicts, adaptive_loop, number_grounding, claim_support, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERY_FUNCTIONS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERY_FUNCTIONS} | runs.QUERIES
 
-from loomwork.jobs.oracle import ORACLE_SQL  # noqa: E402, F401
+from loomwork.jobs import oracle  # noqa: E402
+
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL

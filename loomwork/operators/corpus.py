@@ -94,3 +94,35 @@ def spread(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     placed = one.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(total)
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / F.lit(n)))
     return placed.where((F.col("total") <= n) | F.array_contains(picks, F.col("place").cast("long"))).select(group, key)
+
+
+def paragraph_ranges(documents: DataFrame) -> DataFrame:
+    """By document: its lines with text, and where the last of them starts and ends if the lines are joined by blank lines.
+
+    Line lengths are summed within the row, so no text and no line crosses a shuffle.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    sizes = documents.select("doc_id", F.transform(lines, lambda x: F.length(x).cast("long")).alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x + 2)
+    some = sizes.where(F.size("n") > 0)
+    return some.select("doc_id", F.size("n").alias("paragraphs"), (total - 2 - F.element_at("n", -1)).alias("last_start"), (total - 2).alias("last_end"))
+
+
+def normalisation_report(documents: DataFrame) -> DataFrame:
+    """One row of counters of what normalising changes, so that reports of parts add up."""
+    text = F.coalesce("text", F.lit(""))
+    flags = {
+        "empty": F.trim(text) == "", "carriage_returns": text.contains("\r"), "outer_space": text != F.trim(text), "blank_lines": text.rlike(r"\n[ \t]*\n"),
+        "double_spaces": text.contains("  "), "tabs": text.contains("\t"), "non_ascii": F.octet_length(text) > F.length(text), "count_differs": F.length(text) != F.coalesce("n_chars", F.lit(-1)),
+    }
+    return documents.agg(F.count("*").alias("documents"), F.sum(F.length(text)).alias("characters"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+
+
+def reference_faults(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows without a key, with a key that no parent has, and parents without a row, each counted."""
+    have = rows.groupBy(key).agg(F.count("*").alias("n"))
+    both = have.join(parents.select(key, F.lit(1).alias("there")).distinct(), key, "full")
+    return both.agg(
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("without_key"), F.count_if(F.col("n").isNotNull() & F.col(key).isNotNull() & F.col("there").isNull()).alias("orphan_keys"),
+        F.coalesce(F.sum(F.when(F.col(key).isNotNull() & F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"), F.count_if(F.col("n").isNull()).alias("unused_parents"),
+    )
