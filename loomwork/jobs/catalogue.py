@@ -1,12 +1,13 @@
 """Queries of the analytics operators over the standard tables, and their SQL twins.
 
-Documents stand for papers (their language for the section), benchmark items for questions (the first
-twelve words) with their text as evidence, embeddings for passage vectors, conversations for
+Documents stand for papers (their language for the section), benchmark items for questions, whole,
+with their text as evidence, embeddings for passage vectors, conversations for
 question-answer turns, events for call logs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.jobs import runs
+from loomwork.jobs.scratch import kept
 from loomwork.operators import agent, corpus, evaluation, grounding, quality, retrieval
 from loomwork.streaming import events as streams
 
@@ -24,12 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_stored: dict[str, DataFrame] = {}
+"""The passages that the running query has stored; each query starts anew."""
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.passages(table(spark, d, "documents"))
+    """Passages with their tokens, written once a query: every later step reads the columns it needs."""
+    if d not in _stored:
+        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(table(spark, d, "documents"))), "passages")
+    return _stored[d]
+
+
+def _anew(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        _stored.clear()
+        return query(spark, d)
+
+    return run
 
 
 def _questions(spark: SparkSession, d: str, scope=None) -> DataFrame:
-    first = F.array_join(F.slice(T.words(F.col("text")), 1, 12), " ")
+    first = F.array_join(T.words(F.col("text")), " ")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.lit(0) if scope is None else scope).alias("scope"), first.alias("question"))
 
 
@@ -45,7 +63,7 @@ def _rankings(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 
 
 def passages(spark, d):
-    return corpus.linked(_chunks(spark, d)).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    return corpus.linked(corpus.passages(table(spark, d, "documents")).withColumn("text_sha256", F.sha2("text", 256)).drop("text"))
 
 
 def passage_link_faults(spark, d):
@@ -69,8 +87,7 @@ def spread_sample(spark, d):
 
 
 def term_statistics(spark, d):
-    posts = retrieval.postings(_chunks(spark, d))
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.term_counts(_chunks(spark, d))
 
 
 def bm25_corpus(spark, d):
@@ -79,13 +96,14 @@ def bm25_corpus(spark, d):
 
 
 def bm25_paper(spark, d):
-    chunks, questions = _chunks(spark, d), _questions(spark, d, F.col("item_id"))
-    return retrieval.top_k(retrieval.bm25_scores(chunks, questions, F.col("doc_id")), questions, chunks, 5, F.col("doc_id"))
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    chunks, questions = _chunks(spark, d).join(sources, "doc_id"), _questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    return retrieval.top_k(retrieval.bm25_scores(chunks, questions, F.col("source")), questions, chunks, 5, F.col("source"))
 
 
 def bm25_section(spark, d):
     chunks, questions = _chunks(spark, d), _questions(spark, d)
-    wanted = questions.select("question_id", F.lit("en").alias("section"))
+    wanted = questions.select("question_id").crossJoin(F.broadcast(table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("section")).distinct()))
     return retrieval.in_sections(retrieval.bm25_scores(chunks, questions), chunks, wanted, 5)
 
 
@@ -198,8 +216,6 @@ def evidence_verdicts(spark, d):
 
 
 def adaptive_loop(spark, d):
-    from loomwork.jobs.scratch import kept
-
     chunks, keep = _chunks(spark, d), kept(spark)
     chunks = keep(chunks, "chunks")
 
@@ -260,7 +276,7 @@ _QUERY_FUNCTIONS = (
     arm_coverage, question_plan, evidence_verdicts, adaptive_loop, number_grounding, claim_support, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERY_FUNCTIONS} | runs.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in _QUERY_FUNCTIONS} | runs.QUERIES
 
 from loomwork.jobs import oracle  # noqa: E402
 

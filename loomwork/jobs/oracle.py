@@ -26,7 +26,7 @@ chunks AS (
 
 
 def questions(scope: str = "0") -> str:
-    return f"questions AS (SELECT item_id AS question_id, {scope} AS scope, array_to_string(list_slice(regexp_extract_all(text, '{WORD}'), 1, 12), ' ') AS question FROM benchmark)"
+    return f"questions AS (SELECT item_id AS question_id, {scope} AS scope, array_to_string(regexp_extract_all(text, '{WORD}'), ' ') AS question FROM benchmark)"
 
 
 def scores(scope: str = "0") -> str:
@@ -137,9 +137,9 @@ placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*)
 SELECT source, doc_id FROM placed WHERE total <= 8 OR place IN (SELECT CAST(floor(i * (SELECT count(*) FROM one) / 8) AS BIGINT) FROM range(8) t(i))""",
     "term_statistics": f"WITH {CHUNKS}, tok AS (SELECT passage_id, unnest({_tokens('text')}) AS term FROM chunks) SELECT term, count(DISTINCT passage_id) AS df, count(*) AS tf FROM tok GROUP BY 1",
     "bm25_corpus": f"WITH {CHUNKS}, {questions()}, {scores()}, {_top('0')}",
-    "bm25_paper": f"WITH {CHUNKS}, {questions('item_id')}, {scores('doc_id')}, {_top('doc_id')}",
+    "bm25_paper": f"WITH {CHUNKS.replace('chunks AS (', 'chunks0 AS (')}, chunks AS (SELECT c.*, d.source FROM chunks0 c JOIN documents d USING (doc_id)), {questions("'src' || (item_id % 20)")}, {scores('source')}, {_top('source')}",
     "bm25_section": f"""WITH {CHUNKS}, {questions()}, {scores()}
-SELECT question_id, section, passage_id, rank, round(score, 6) AS score FROM (SELECT question_id, section, passage_id, score, {_RANK} AS rank FROM bm25 JOIN chunks USING (passage_id) WHERE section = 'en') WHERE rank <= 5""",
+SELECT question_id, section, passage_id, rank, round(score, 6) AS score FROM (SELECT question_id, section, passage_id, score, {_RANK.replace('question_id ORDER', 'question_id, section ORDER')} AS rank FROM bm25 JOIN chunks USING (passage_id)) WHERE rank <= 5""",
     "dense_corpus": _dense(""),
     "dense_paper": _dense("AND q.label = x.label"),
     "rrf_fusion": f"{_BASE}, {_FUSED} SELECT * FROM fused WHERE rank <= 5",
