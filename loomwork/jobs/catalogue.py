@@ -30,10 +30,16 @@ _stored: dict[str, DataFrame] = {}
 """The passages that the running query has stored; each query starts anew."""
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt to all cores; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Passages with their tokens, written once a query: every later step reads the columns it needs."""
     if d not in _stored:
-        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(table(spark, d, "documents"))), "passages")
+        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(_dealt(table(spark, d, "documents")))), "passages")
     return _stored[d]
 
 
@@ -63,7 +69,7 @@ def _rankings(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 
 
 def passages(spark, d):
-    return corpus.linked(corpus.passages(table(spark, d, "documents")).withColumn("text_sha256", F.sha2("text", 256)).drop("text"))
+    return corpus.linked(corpus.passages(_dealt(table(spark, d, "documents"))).withColumn("text_sha256", F.sha2("text", 256)).drop("text"))
 
 
 def passage_link_faults(spark, d):
