@@ -6,8 +6,8 @@ and hashed. Hashes of quoted passages join the hashes of what earlier messages o
 wrote themselves; a message replies to the latest message that its shallowest quotes come from, or,
 where none is found, to the message before it. Replies form trees; a conversation is ordered by them.
 
-Hashes join on (conversation, hash), so a conversation or a passage of any size spreads by content;
-originals are first brought to one row a hash and turn, and found turns to one row a quote. Depths and
+Quotes and originals meet in order of turns within (conversation, hash), so a conversation spreads by
+content and no list of turns is held; both are first brought to one row a hash, turn and depth. Depths and
 roots come from pointer doubling over narrow rows, each step a written table.
 """
 
@@ -87,10 +87,10 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", "turn", "m.role", "m.text")
     messages = stored(rows.mapInArrow(_parse, _PARTS), "messages")
     parts = messages.select("conv_id", "turn", F.explode("parts").alias("p")).select("conv_id", "turn", "p.depth", _hash(F.col("p.part")).alias("hash"))
-    wrote = parts.where("depth = 0").groupBy("conv_id", "hash").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
-    quoted = parts.where("depth > 0").groupBy("conv_id", "turn", "depth", "hash").count().drop("count")
-    earlier = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
-    found = quoted.join(wrote, ["conv_id", "hash"], "left").select("conv_id", "turn", "depth", earlier.alias("source"))
+    each = parts.groupBy("conv_id", "hash", "turn", "depth").count().drop("count").withColumn("own", (F.col("depth") == 0).cast("int"))
+    along = Window.partitionBy("conv_id", "hash").orderBy("turn", "own").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.max(F.when(F.col("own") == 1, F.col("turn"))).over(along)  # a message's own passages stand after its quotes
+    found = each.withColumn("source", latest).where("own = 0").select("conv_id", "turn", "depth", "source")
     answered = found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quotes"),
         F.count("source").alias("n_linked"),
@@ -126,3 +126,29 @@ def transcripts(linked: DataFrame) -> DataFrame:
 
 def digest(linked: DataFrame) -> DataFrame:
     return linked.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+def with_quotes(conversations: DataFrame) -> DataFrame:
+    """The conversations as a mail client would store them: each message but the first two quotes, in full, an earlier one.
+
+    That is the one before, or in conversations of odd id the one before that. What a message quotes is given
+    in ``quoted``; its own text follows after a blank line.
+    """
+    back = F.when(F.col("conv_id") % 2 == 0, 1).otherwise(2)
+    later = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") - back).alias("quoted"))
+    said = conversations.select("conv_id", F.col("turn").alias("quoted"), F.coalesce("text", F.lit("")).alias("said"))
+    both = later.join(said, ["conv_id", "quoted"], "left")
+    marked = F.concat(F.lit("> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), F.col("text"))
+    return both.select("conv_id", "turn", "role", F.when((F.col("turn") >= 2) & F.col("said").isNotNull(), marked).otherwise(F.col("text")).alias("text"), "quoted")
+
+
+QUOTED_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn - CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END AS quoted FROM conversations),
+p AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS h
+  FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n[ \t]*(?:\n[ \t]*)*\n|^[ \t]*\n|\n[ \t]*$')) AS part FROM m) WHERE trim(part, E' \t\n') <> ''),
+q AS (SELECT m.conv_id, m.turn, p.h, (SELECT max(o.turn) FROM p o WHERE o.conv_id = m.conv_id AND o.h = p.h AND o.turn < m.turn) AS source FROM m JOIN p ON p.conv_id = m.conv_id AND p.turn = m.quoted WHERE m.turn >= 2),
+f AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, max(source) AS source FROM q GROUP BY ALL),
+r AS (SELECT m.conv_id, m.turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(source, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn)) AS reply_to FROM m LEFT JOIN f USING (conv_id, turn)),
+t AS (SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth FROM r WHERE reply_to IS NULL UNION ALL SELECT r.conv_id, r.turn, t.root, t.depth + 1 FROM r JOIN t ON r.conv_id = t.conv_id AND r.reply_to = t.turn)
+SELECT conv_id, turn, n_quotes, n_linked, coalesce(reply_to, -1) AS reply_to, root, depth, row_number() OVER (PARTITION BY conv_id ORDER BY root, depth, turn) AS position FROM r JOIN t USING (conv_id, turn)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwork.llm import chat_quotes, decontamination, quality_rules, sentencepiece_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 
@@ -52,6 +53,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_quotes.digest(chat_quotes.link_quotes(table(spark, sf_dir, "conversations")))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with quotes put in, linked by them (the given tables hold none); -1 for a message that replies to none."""
+    quoting = chat_quotes.with_quotes(table(spark, sf_dir, "conversations"))
+    return chat_quotes.link_quotes(quoting).select("conv_id", "turn", "n_quotes", "n_linked", F.coalesce("reply_to", F.lit(-1)).alias("reply_to"), "root", "depth", "position")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
+    "quoted_conversations": quoted_conversations,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -76,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_url_filters": url_filters.ORACLE_SQL,
+    "quoted_conversations": chat_quotes.QUOTED_SQL,
     "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }
