@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.scratch import scratch_path, shuffles_freed
+from loomwork.llm.scratch import scratch_path, shuffles_freed, stored
 
 SCHEMA = "tokenizer string, digest binary, n_tokens long"
 MEMO_WORDS = 400_000
@@ -112,10 +112,13 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache_path: str, lim
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     cached = (spark.read.schema(SCHEMA).parquet(cache_path) if there else empty).where(F.col("tokenizer") == version)
-    distinct = documents.select(digest.alias("digest"), content.alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
-    misses = distinct.join(cached.select("digest"), "digest", "left_anti") if there else distinct
+    texts = documents.select(digest.alias("digest"), content.alias("content"))
+    if there:  # digests ask the cache first; written, so that a short list of misses is sent to the texts and no text it has is shuffled
+        missing = stored(documents.select(digest.alias("digest")).distinct().join(cached.select("digest"), "digest", "left_anti"), "missing-digests")
+        texts = texts.join(missing, "digest", "left_semi")
+    misses = texts.groupBy("digest").agg(F.first("content").alias("content"))
     with shuffles_freed(spark):
-        misses.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+        misses.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = spark.read.schema(SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -2,7 +2,7 @@
 
 One scan of the pages, no shuffle: rules are column expressions, and the automaton (built once a
 Python worker from the vocabulary, whose size is the caller's and does not grow with the data)
-runs over Arrow batches of URLs that no rule decides.
+runs over Arrow batches of URLs; its verdict holds where no rule decides.
 """
 
 from __future__ import annotations
