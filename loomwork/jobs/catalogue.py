@@ -167,7 +167,8 @@ def paired_bootstrap(spark, d):
     m = retrieval_metrics(spark, d)
     side = lambda x: m.where(F.col("method") == x).select("question_id", "mrr")
     deltas, _ = quality.paired(side("bm25"), side("overlap"), "question_id", "mrr")
-    return evaluation.bootstrap(deltas.withColumn("paper", F.col("question_id") % 25), "paper", 200)
+    deltas = kept(spark)(deltas.withColumn("paper", F.col("question_id") % 25), "deltas")  # read several times
+    return evaluation.bootstrap(deltas, "paper", 200)
 
 
 def label_agreement(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.operators.numbering import numbered
 
 SIZE, OVERLAP = 200, 40
 SCHEME = "passage-v1"
@@ -91,9 +92,9 @@ def spread(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """One row a group (smallest key), then n of them at even distances of their order."""
     one = rows.groupBy(group).agg(F.min(key).alias(key))
     total = one.agg(F.count("*").alias("total"))
-    placed = one.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(total)
+    placed = numbered(one, key, "place").crossJoin(total)
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / F.lit(n)))
-    return placed.where((F.col("total") <= n) | F.array_contains(picks, F.col("place").cast("long"))).select(group, key)
+    return placed.where((F.col("total") <= n) | F.array_contains(picks, F.col("place"))).select(group, key)
 
 
 def paragraph_ranges(documents: DataFrame) -> DataFrame:

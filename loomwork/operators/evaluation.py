@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.operators.numbering import numbered
 
 
 def binary_metrics(rankings: DataFrame, qrels: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -86,7 +87,7 @@ def bootstrap(deltas: DataFrame, cluster: str, replicates: int, seed: int = 42)
     with single questions. ``low``/``high`` interpolate; ``nearest_*`` take the nearest order statistics.
     """
     sums = deltas.groupBy(cluster).agg(F.sum("delta").alias("s"), F.count("*").alias("c"))
-    placed = sums.withColumn("place", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long"))
+    placed = numbered(sums, cluster, "place")
     total = placed.agg(F.count("*").alias("n"))
     slots = placed.select(F.col("place").alias("slot")).crossJoin(total)
     draws = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))

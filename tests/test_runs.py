@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from loomwork.functions import claims
-from loomwork.operators import answers, corpus, hits, runs
+from loomwork.operators import answers, corpus, hits, numbering, runs
 
 RANKING = "question_id long, method string, passage_id string, rank int, score double"
 
@@ -84,3 +84,10 @@ def test_corpus_checks(spark):
     assert (r.documents, r.blank_lines, r.carriage_returns) == (3, 1, 1)
     rows = spark.createDataFrame([(1,), (1,), (9,), (None,)], "doc_id long")
     assert tuple(corpus.reference_faults(rows, docs, "doc_id").first()) == (1, 1, 1, 2)
+
+
+def test_numbers_follow_the_key(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1009).alias("key"))
+    got = [(r.key, r.n) for r in numbering.numbered(rows, "key", "n", 7).orderBy("key").collect()]
+    assert got == [(k, i) for i, k in enumerate(sorted((i * 37) % 1009 for i in range(1000)))]
+    assert numbering.numbered(rows.limit(0), "key", "n").count() == 0
