@@ -260,9 +260,9 @@ def prompt_selection(spark, d):
 
 
 def grounded_answers(spark, d):
-    chunks = _chunks(spark, d).select(F.col("doc_id").alias("question_id"), "passage_id", "text", "chunk_number")
+    chunks = _chunks(spark, d).select(F.col("doc_id").alias("question_id"), "passage_id", "text")
     answers = _line_answers(spark, d)
-    shown = chunks.where("chunk_number < 8").select("question_id", "passage_id")
+    shown = chunks.select("question_id", "passage_id")
     faults = grounding.number_faults(answers, chunks).unionByName(grounding.citation_faults(answers, chunks.select("question_id", "passage_id"), shown))
     out = grounding.finalised(answers, faults)
     return out.select("question_id", F.sha2("answer", 256).alias("answer_sha256"), F.size("citations").alias("citations"), "downgraded", "errors", "warnings")
