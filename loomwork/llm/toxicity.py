@@ -4,14 +4,15 @@ Each word enters as learned vectors: one of its form and two, a mean and a large
 dimension, over those of its character n-grams. Overlapping word windows run through a forward and
 a backward GRU; attention pools the states of a window to one logit. A text scores by its highest
 windows, so that words which only together tell stand beside words which tell alone. Vectors and
-network are trained together in numpy on the driver from a bounded sample of labelled rows, on
-windows of their whole texts; vectors start near zero, but for one dimension that starts from how
+network are trained together in numpy in one task from a bounded sample of labelled rows, on
+windows of their whole texts (a lost executor trains again, to the same model); vectors start near zero, but for one dimension that starts from how
 much the training rows' labels go with the feature. Scoring is one scan in which every window of
 every text is computed in array batches.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -418,15 +419,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     """Train on a bounded sample of labelled, not held-out rows: ids first (a bounded list), then one scan that meets it by broadcast.
 
     An id labelled both ways is left out; of an id with several texts the least is taken, before any row
-    reaches the driver. Null texts are empty ones.
+    reaches the task that trains; only the model comes to the driver. Null texts are empty ones.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     some = [known.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
-    rows = sorted(found.collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["doc_id"])
+        model = train([row["text"] for row in rows], np.array([row["toxic"] for row in rows]))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    made = found.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(made.model) if made else train([], np.zeros(0))
 
 
 def score(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
