@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_quotes, decontamination, quality_rules, sentencepiece_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
+from loomwork.llm import chat_quotes, decontamination, lexical_search, quality_rules, sentencepiece_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_vector_codes": op12_vector_codes,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "quoted_conversations": chat_quotes.QUOTED_SQL,
     "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
