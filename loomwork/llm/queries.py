@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_quotes, decontamination, lexical_search, quality_rules, sentencepiece_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
+from loomwork.llm import chat_quotes, decontamination, lexical_search, license_scan, quality_rules, sentencepiece_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quoted_conversations": quoted_conversations,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_license_scan": op11_license_scan,
     "op12_vector_codes": op12_vector_codes,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -96,6 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": url_filters.ORACLE_SQL,
     "quoted_conversations": chat_quotes.QUOTED_SQL,
     "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op11_license_scan": license_scan.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
     "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
