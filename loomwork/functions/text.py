@@ -11,14 +11,15 @@ TOKEN = r"[\p{L}\p{N}_]+"
 NUMBER = r"(?<![A-Za-z0-9_.])(\d+(?:,\d{3})*(?:\.\d+)?)(?![0-9])"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 STOPWORDS = (
-    "a an the of in on for to is are was were be been do does did what which who whom whose when where why how that this "
-    "these those it its they their them with by as at from and or not can could would should will have has had than there "
-    "paper authors author used use using also such only other some any each many much few more most very both over into "
-    "then about between during after before under again further here while through above below just now same own too but "
-    "all one two may might must shall being else however thus therefore since because although whether show shown shows "
-    "given based make made like well first second new different several various often relate related within without "
-    "across around per"
-).split()
+    "a", "an", "the", "of", "in", "on", "for", "to", "is", "are", "was", "were", "be", "been", "do", "does", "did", "what", "which", "who", "whom",
+    "whose", "when", "where", "why", "how", "that", "this", "these", "those", "it", "its", "they", "their", "them", "with", "by", "as", "at", "from",
+    "and", "or", "not", "can", "could", "would", "should", "will", "have", "has", "had", "than", "there", "paper", "authors", "author", "used",
+    "use", "using", "also", "such", "only", "other", "some", "any", "each", "many", "much", "few", "more", "most", "very", "both", "over", "into",
+    "then", "about", "between", "during", "after", "before", "under", "again", "further", "here", "while", "through", "above", "below", "just",
+    "now", "same", "own", "too", "but", "all", "one", "two", "may", "might", "must", "shall", "being", "else", "however", "thus", "therefore",
+    "since", "because", "although", "whether", "show", "shown", "shows", "given", "based", "make", "made", "like", "well", "first", "second", "new",
+    "different", "several", "various", "often", "relate", "related", "within", "without", "across", "around", "per",
+)
 
 
 def normalised(text: Column) -> Column:
@@ -66,12 +67,12 @@ def sentences(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Distinct tokens of three characters or more that are not stopwords."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
 
 
 def key_terms(question: Column) -> Column:
     found = F.regexp_extract_all(F.lower(question), F.lit(r"[a-z0-9][a-z0-9\-]*"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
 
 
 def stem(word: Column) -> Column:

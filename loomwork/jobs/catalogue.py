@@ -7,56 +7,25 @@ question-answer turns, events for call logs.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.jobs import runs
+from loomwork.jobs import loops, runs
 from loomwork.jobs.scratch import kept
+from loomwork.jobs.tables import anew as _anew
+from loomwork.jobs.tables import chunks as _chunks
+from loomwork.jobs.tables import dealt as _dealt
+from loomwork.jobs.tables import questions as _questions
+from loomwork.jobs.tables import table
 from loomwork.operators import agent, corpus, evaluation, grounding, quality, retrieval
 from loomwork.streaming import events as streams
 
 DEPTH = 10
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-_stored: dict[str, DataFrame] = {}
-"""The passages that the running query has stored; each query starts anew."""
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores are dealt to all cores; larger tables stay as they are read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages with their tokens, written once a query: every later step reads the columns it needs."""
-    if d not in _stored:
-        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(_dealt(table(spark, d, "documents")))), "passages")
-    return _stored[d]
-
-
-def _anew(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    @functools.wraps(query)
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        _stored.clear()
-        return query(spark, d)
-
-    return run
-
-
-def _questions(spark: SparkSession, d: str, scope=None) -> DataFrame:
-    first = F.array_join(T.words(F.col("text")), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.lit(0) if scope is None else scope).alias("scope"), first.alias("question"))
-
-
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gold_by_containment(_chunks(spark, d), table(spark, d, "benchmark")).select(F.col("item_id").alias("question_id"), "passage_id")
 
@@ -222,18 +191,6 @@ def evidence_verdicts(spark, d):
     return agent.verdicts(needs, agent.evidence(_hits(spark, d), needs))
 
 
-def adaptive_loop(spark, d):
-    chunks, keep = _chunks(spark, d), kept(spark)
-    chunks = keep(chunks, "chunks")
-
-    def retrieve(queries: DataFrame) -> DataFrame:
-        asked = queries.select("question_id", F.lit(0).alias("scope"), F.col("query").alias("question"))
-        top = retrieval.ranked(retrieval.bm25_scores(chunks, asked), 5)
-        return top.join(chunks.select("passage_id", "section", "text"), "passage_id").select("question_id", "passage_id", "rank", "text", "section")
-
-    return agent.run_loop(_questions(spark, d).select("question_id", "question"), retrieve, keep=keep)
-
-
 def _line_answers(spark, d):
     """The last line of each document as an answer to its first, citing its first passage."""
     docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l")).where(F.size("l") > 0)
@@ -280,11 +237,11 @@ _QUERY_FUNCTIONS = (
     passages, passage_link_faults, corpus_report, duplicate_paragraphs, document_anomalies, spread_sample, term_statistics, bm25_corpus, bm25_paper,
     bm25_section, dense_corpus, dense_paper, rrf_fusion, reranked, gold_passages, retrieval_metrics, retrieval_macro, candidate_pool,
     judged_coverage, depth_curve, ranking_difference, paired_bootstrap, label_agreement, answer_scores, call_latency, usage_cost, split_overlaps,
-    arm_coverage, question_plan, evidence_verdicts, adaptive_loop, number_grounding, claim_support, prompt_selection, grounded_answers,
+    arm_coverage, question_plan, evidence_verdicts, number_grounding, claim_support, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in _QUERY_FUNCTIONS} | runs.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS)} | runs.QUERIES
 
 from loomwork.jobs import oracle  # noqa: E402
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
@@ -57,6 +57,12 @@ GAP_WORDS = {
     "WEAK_EVIDENCE": "additional detail",
 }
 PAPER_TERMS, QUERY_WORDS, TERM_LENGTH = 4, 40, 5
+LEAST_ADDED = 8
+"""Words a retry may add however long the question is."""
+#: Section hints of the gaps that a retry may answer from one section.
+GAP_HINTS = {REQUIREMENTS[name][3]: REQUIREMENTS[name][0] for name in ("method", "experiment_context", "result", "comparison")}
+NO_INFORMATION = "INSUFFICIENT_INFORMATION"
+"""The gap of a question that its scope can't answer: no retry."""
 
 
 def question_type(question: Column) -> Column:
@@ -117,11 +123,12 @@ def paper_terms(hits: DataFrame, questions: DataFrame) -> DataFrame:
     return kept.groupBy("question_id").agg(F.slice(F.transform(ordered, lambda x: x["term"]), 1, 4 * PAPER_TERMS).alias("terms"))
 
 
-def extended(question: Column, words: Column) -> Column:
-    """The question with those words that it lacks, at most ``QUERY_WORDS`` in all."""
+def extended(question: Column, words: Column, most: int = QUERY_WORDS, least_added: int = LEAST_ADDED) -> Column:
+    """The question, whole, with those words that it lacks: at most ``most`` words in all, but ``least_added`` words have room after any question."""
     own = F.split(F.trim(question), r"\s+")
     new = F.filter(F.array_distinct(words), lambda w: ~F.array_contains(F.split(F.lower(F.trim(question)), r"\s+"), F.lower(w)) & (w != ""))
-    return F.array_join(F.slice(F.concat(own, new), 1, QUERY_WORDS), " ")
+    room = F.greatest(F.lit(most) - F.size(own), F.lit(least_added))
+    return F.array_join(F.concat(own, F.slice(new, F.lit(1), room)), " ")
 
 
 def rewrites(active: DataFrame) -> DataFrame:
@@ -136,34 +143,93 @@ def rewrites(active: DataFrame) -> DataFrame:
     return active.withColumn("query", fresh)
 
 
-def run_loop(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], max_rounds: int = 3, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
-    """(question_id, round, query, retrieved, sufficient, gap, stop_reason) of every round of every question.
+def sections_of(passages: DataFrame, scope: Column) -> DataFrame:
+    """(scope, section, position): the named sections of each scope, and where each first stands."""
+    rows = passages.where(F.col("section").isNotNull()).select(scope.alias("scope"), "section", F.struct("doc_id", "chunk_number").alias("at"))
+    return rows.groupBy("scope", "section").agg(F.min("at").alias("position"))
 
-    ``retrieve`` maps (question_id, query) rows to hits (question_id, passage_id, rank, text, section);
+
+def next_sections(active: DataFrame, sections: DataFrame) -> DataFrame:
+    """(question_id, section): the section to search for each (question_id, scope, gap, searched), if any.
+
+    Its lower-case name holds a hint of the gap and it was not searched before; earlier hints come first,
+    then earlier sections. Gaps without hints have none: those retries search the whole scope.
+    """
+    hints = F.array().cast("array<string>")
+    for gap, said in GAP_HINTS.items():
+        hints = F.when(F.col("gap") == gap, F.array(*(F.lit(h) for h in said))).otherwise(hints)
+    open_ = active.select("question_id", "scope", "searched", hints.alias("hints")).where(F.size("hints") > 0)
+    both = open_.join(sections, "scope").where(~F.array_contains("searched", F.col("section")))
+    hint = F.array_position(F.transform("hints", lambda h: F.contains(F.lower("section"), h)), True)
+    return both.withColumn("hint", hint).where("hint > 0").groupBy("question_id").agg(F.min_by("section", F.struct("hint", "position")).alias("section"))
+
+
+def scoped_hits(scores: DataFrame, passages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best passages of each question: of the section it asks for, or of the whole scope where it asks for none or that one has none.
+
+    ``scores``: question_id, passage_id, score; ``asked``: question_id, section (may be null). The k best inside and
+    outside the section are kept first, so that no more than those meet.
+    """
+    held = scores.join(passages.select("passage_id", "section", "text"), "passage_id").join(asked.select("question_id", F.col("section").alias("wanted")), "question_id")
+    held = held.withColumn("inside", F.coalesce(F.col("section") == F.col("wanted"), F.lit(False)))
+    order = [F.round("score", 9).desc(), F.col("passage_id")]
+    few = held.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "inside").orderBy(*order))).where(F.col("rank") <= k)
+    each = Window.partitionBy("question_id")
+    few = few.withColumn("any", F.max("inside").over(each)).where(F.col("inside") | ~F.col("any"))
+    return few.withColumn("rank", F.row_number().over(each.orderBy(*order))).where(F.col("rank") <= k).select("question_id", "passage_id", "rank", "text", "section")
+
+
+def judged_by_rules(hits: DataFrame, needs: DataFrame) -> DataFrame:
+    """(question_id, sufficient, gap) of questions with these hits and needs."""
+    return verdicts(needs, evidence(hits, needs))
+
+
+def run_loop(
+    questions: DataFrame,
+    retrieve: Callable[[DataFrame], DataFrame],
+    max_rounds: int = 3,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    sections: DataFrame | None = None,
+    judge: Callable[[DataFrame, DataFrame], DataFrame] = judged_by_rules,
+) -> DataFrame:
+    """(question_id, round, query, triggered_by, section, fallback, retrieved, sufficient, gap, stop_reason) of every round of every question.
+
+    ``retrieve`` maps (question_id, scope, query, section) rows to hits (question_id, passage_id, rank, text, section);
     ``keep`` writes a round's rows to a shared table, so that lineage does not grow. All open questions
     go through a round together; passages of earlier rounds stay with their question, first seen first.
+
+    With ``sections`` (scope, section, position) a retry searches the section that fits its gap best and that this
+    question has not searched yet; ``retrieve`` falls back to the whole scope where the section holds nothing, in
+    the same round, which the log shows. ``judge`` maps the hits so far and the needs to (question_id, sufficient,
+    gap); the gap ``INSUFFICIENT_INFORMATION`` ends a question's loop.
     """
+    scope = F.col("scope") if "scope" in questions.columns else F.lit(0)
     needs = keep(requirements(questions), "needs")
-    state = questions.select("question_id", "question", F.col("question").alias("query"), F.array(F.col("question")).alias("used"))
+    none, never = F.array().cast("array<string>"), F.lit(None).cast("string")
+    state = questions.select("question_id", scope.alias("scope"), "question", F.col("question").alias("query"), F.array(F.col("question")).alias("used"), F.lit("NONE").alias("triggered_by"), never.alias("section"), none.alias("searched"))
     pool, log = None, None
     for turn in range(1, max_rounds + 1):
-        found = retrieve(state.select("question_id", "query")).withColumn("round", F.lit(turn))
+        found = keep(retrieve(state.select("question_id", "scope", "query", "section")).withColumn("round", F.lit(turn)), f"hits-{turn}")
         both = found if pool is None else pool.unionByName(found)
         first = both.groupBy("question_id", "passage_id").agg(F.min_by(F.struct("round", "rank", "text", "section"), F.struct("round", "rank")).alias("h"))
         pool = keep(first.select("question_id", "passage_id", "h.*"), f"pool-{turn}")
         mine = pool.join(state.select("question_id"), "question_id", "left_semi")
-        said = verdicts(needs.join(state.select("question_id"), "question_id", "left_semi"), evidence(mine, needs))
-        done = F.when(F.col("sufficient"), "sufficient").when(F.lit(turn >= max_rounds), "max_rounds")
+        said = judge(mine, needs.join(state.select("question_id"), "question_id", "left_semi"))
+        done = F.when(F.col("sufficient"), "sufficient").when(F.col("gap") == NO_INFORMATION, "insufficient_information").when(F.lit(turn >= max_rounds), "max_rounds")
         counts = mine.groupBy("question_id").agg(F.count("*").alias("retrieved"))
-        now = keep(state.join(said, "question_id").join(counts, "question_id", "left").withColumn("stop_reason", done), f"round-{turn}")
-        entry = now.select("question_id", F.lit(turn).alias("round"), "query", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), "sufficient", "gap", "stop_reason")
+        inside = found.select("question_id", "section").distinct().withColumn("inside", F.lit(True))
+        entry = state.join(said, "question_id").join(counts, "question_id", "left").join(inside, ["question_id", "section"], "left")
+        now = keep(entry.withColumn("stop_reason", done).withColumn("fallback", F.col("section").isNotNull() & F.col("inside").isNull()), f"round-{turn}")
+        entry = now.select("question_id", F.lit(turn).alias("round"), "query", "triggered_by", "section", "fallback", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), "sufficient", "gap", "stop_reason")
         log = entry if log is None else log.unionByName(entry)
-        active = now.where("stop_reason is null").select("question_id", "question", "used", "gap")
         if turn == max_rounds:
             break
+        active = now.where("stop_reason is null").select("question_id", "scope", "question", "used", "gap", F.when(F.col("section").isNull(), F.col("searched")).otherwise(F.array_append("searched", F.col("section"))).alias("searched"))
         ordered = mine.withColumn("rank", F.col("round") * 1000 + F.col("rank"))
         terms = paper_terms(ordered.join(active.select("question_id"), "question_id", "left_semi"), questions)
-        state = keep(rewrites(active.join(terms, "question_id", "left")).select("question_id", "question", "query", F.array_append("used", F.col("query")).alias("used")), f"state-{turn}")
+        chosen = active.select("question_id", never.alias("section")).limit(0) if sections is None else next_sections(active, sections)
+        told = rewrites(active.join(terms, "question_id", "left")).join(chosen, "question_id", "left")
+        state = keep(told.select("question_id", "scope", "question", "query", F.array_append("used", F.col("query")).alias("used"), F.col("gap").alias("triggered_by"), "section", "searched"), f"state-{turn}")
     return log
 
 
