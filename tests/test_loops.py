@@ -8,7 +8,7 @@ from loomwork.operators import agent, retrieval
 
 def _passages(spark):
     rows = [
-        ("a0", 1, 0, "paper", "Introduction", "we study parsing of sentences"),
+        ("a0", 1, 0, "paper", "Introduction", "accuracy of parsing"),
         ("a1", 1, 1, "paper", "Our Approach", "encoder layers of the parser"),
         ("a2", 1, 2, "paper", "Experiments", "findings on the corpus"),
         ("a3", 1, 3, "paper", "Experiments ::: Results", "zebra zebra"),
