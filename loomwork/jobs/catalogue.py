@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.jobs import loops, runs
+from loomwork.jobs import loops, replies, runs
 from loomwork.jobs.scratch import kept
 from loomwork.jobs.tables import anew as _anew
 from loomwork.jobs.tables import chunks as _chunks
@@ -240,8 +240,8 @@ _QUERY_FUNCTIONS = (
     arm_coverage, question_plan, evidence_verdicts, number_grounding, claim_support, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS)} | runs.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS, *replies.QUERY_FUNCTIONS)} | runs.QUERIES
 
 from loomwork.jobs import oracle  # noqa: E402
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql()
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql() | replies.ORACLE_SQL
