@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.jobs import loops, replies, runs
-from loomwork.jobs.scratch import kept
+from loomwork.jobs import coherence, loops, replies, runs
+from loomwork.scratch import kept
 from loomwork.jobs.tables import anew as _anew
 from loomwork.jobs.tables import chunks as _chunks
 from loomwork.jobs.tables import dealt as _dealt
@@ -203,11 +203,6 @@ def number_grounding(spark, d):
     return grounding.number_faults(_line_answers(spark, d), chunks)
 
 
-def claim_support(spark, d):
-    answers = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("answer"))
-    return grounding.claim_support(answers, _hits(spark, d).select("question_id", "passage_id", "text"))
-
-
 def prompt_selection(spark, d):
     terms = retrieval.question_terms(_questions(spark, d)).select("question_id", "term")
     component = F.pmod(F.length("term"), F.lit(3))
@@ -237,11 +232,11 @@ _QUERY_FUNCTIONS = (
     passages, passage_link_faults, corpus_report, duplicate_paragraphs, document_anomalies, spread_sample, term_statistics, bm25_corpus, bm25_paper,
     bm25_section, dense_corpus, dense_paper, rrf_fusion, reranked, gold_passages, retrieval_metrics, retrieval_macro, candidate_pool,
     judged_coverage, depth_curve, ranking_difference, paired_bootstrap, label_agreement, answer_scores, call_latency, usage_cost, split_overlaps,
-    arm_coverage, question_plan, evidence_verdicts, number_grounding, claim_support, prompt_selection, grounded_answers,
+    arm_coverage, question_plan, evidence_verdicts, number_grounding, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS, *replies.QUERY_FUNCTIONS)} | runs.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS, *replies.QUERY_FUNCTIONS, *coherence.QUERY_FUNCTIONS)} | runs.QUERIES
 
 from loomwork.jobs import oracle  # noqa: E402
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql() | replies.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql() | replies.ORACLE_SQL | coherence.ORACLE_SQL

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.jobs import oracle
-from loomwork.jobs.scratch import kept
+from loomwork.scratch import kept
 from loomwork.jobs.tables import chunks as _chunks
 from loomwork.jobs.tables import questions as _questions
 from loomwork.jobs.tables import table

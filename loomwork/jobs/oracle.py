@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomwork.functions.text import STOPWORDS
+from loomwork.operators.grounding import REFUSAL
 from loomwork.operators.agent import COMPARISON_CUES, CUES, DESCRIPTIVE, REQUIREMENTS, SETUP_CUES
 
 WORD, TOKEN = r"[^\s\p{Z}]+", r"[\p{L}\p{N}_]+"
@@ -105,11 +106,6 @@ def _answer(x: str) -> str:
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
-def _content(x: str) -> str:
-    return f"list_distinct(list_filter({_tokens(x)}, lambda t: length(t) >= 3 AND t NOT IN ({_STOP})))"
-
-
-
 ORACLE_SQL: dict[str, str] = {
     "passages": f"""WITH {CHUNKS}
 SELECT passage_id, doc_id, section, chunk_number, n_words, sha256(text) AS text_sha256, lag(passage_id) OVER w AS previous_passage_id, lead(passage_id) OVER w AS next_passage_id
@@ -185,12 +181,6 @@ SELECT component, u.model, calls, input_tokens, output_tokens, round((input_toke
     "arm_coverage": f"""{_BASE}, have AS (SELECT DISTINCT question_id, method FROM rankings WHERE rank = 1), want AS (SELECT question_id, method FROM questions, (SELECT DISTINCT method FROM have))
 SELECT method, count(w.question_id) AS expected, count(h.question_id) AS found, count(*) FILTER (h.question_id IS NULL) AS missing, count(*) FILTER (w.question_id IS NULL) AS unknown
 FROM want w FULL JOIN have h USING (question_id, method) GROUP BY 1""",
-    "claim_support": f"""WITH {CHUNKS}, {questions()}, {scores()}, hits AS (SELECT question_id, passage_id, text FROM (SELECT *, {_RANK} AS rank FROM bm25) JOIN chunks USING (passage_id) WHERE rank <= 5),
-sent AS (SELECT item_id AS question_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS claim FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM benchmark)),
-claims AS (SELECT question_id, claim, {_content("sentence")} AS t FROM sent),
-best AS (SELECT question_id, claim, passage_id, coalesce(len(list_intersect(t, {_content("text")})) / len(t), 0) AS score FROM claims LEFT JOIN hits USING (question_id) WHERE len(t) >= 3)
-SELECT question_id, CAST(claim AS INT) AS claim, passage_id, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'direct' WHEN score >= 0.35 THEN 'partial' ELSE 'none' END AS support
-FROM (SELECT *, row_number() OVER (PARTITION BY question_id, claim ORDER BY score DESC, passage_id) AS r FROM best) WHERE r = 1""",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
@@ -234,6 +224,13 @@ def _numbers(x: str) -> str:
     return f"list_transform(regexp_extract_all({x}, '{_NUMBER}', 1), lambda n: {plain})"
 
 
+_NUMBER_FAULTS = f"""WITH {CHUNKS}, l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
+a AS (SELECT doc_id AS question_id, l[1] AS question, l[-1] AS answer FROM l WHERE len(l) > 0),
+said AS (SELECT DISTINCT question_id, number FROM (SELECT question_id, unnest({_numbers("answer")}) AS number, {_numbers("question")} AS own FROM a) WHERE NOT list_contains(own, number)),
+stated AS (SELECT DISTINCT doc_id AS question_id, chunk_number, unnest({_numbers("text")}) AS number FROM chunks),
+judged AS (SELECT question_id, number, coalesce(bool_or(chunk_number = 0), false) AS cited, count(chunk_number) AS n FROM said LEFT JOIN stated USING (question_id, number) GROUP BY ALL),
+faults AS (SELECT question_id, number, CASE WHEN n > 0 THEN 'NUMBER_FROM_UNCITED_PASSAGE' ELSE 'UNSUPPORTED_NUMBER' END AS code, CASE WHEN n > 0 THEN 'warning' ELSE 'error' END AS severity FROM judged WHERE NOT cited)"""
+
 ORACLE_SQL |= {
     "question_plan": f"""WITH queried AS (SELECT conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user'), {_NEEDS}
 SELECT question_id, ordinal, name, array_to_string(words, ',') AS keywords, CAST(needed AS INT) AS needed, gap FROM needs""",
@@ -244,12 +241,11 @@ met AS (
   WHERE len(list_filter(coalesce(hints, []), lambda h: contains(lower(section), h))) > 0 OR len(list_filter(words, lambda w: regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || regexp_escape(w)))) >= needed
 )
 SELECT question_id, bool_and(met IS NOT NULL) AS sufficient, coalesce(arg_min(gap, ordinal) FILTER (met IS NULL), 'NONE') AS gap FROM needs LEFT JOIN met USING (question_id, ordinal) GROUP BY 1""",
-    "number_grounding": f"""WITH {CHUNKS}, l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
-a AS (SELECT doc_id AS question_id, l[1] AS question, l[-1] AS answer FROM l WHERE len(l) > 0),
-said AS (SELECT DISTINCT question_id, number FROM (SELECT question_id, unnest({_numbers("answer")}) AS number, {_numbers("question")} AS own FROM a) WHERE NOT list_contains(own, number)),
-stated AS (SELECT DISTINCT doc_id AS question_id, chunk_number, unnest({_numbers("text")}) AS number FROM chunks),
-judged AS (SELECT question_id, number, coalesce(bool_or(chunk_number = 0), false) AS cited, count(chunk_number) AS n FROM said LEFT JOIN stated USING (question_id, number) GROUP BY ALL)
-SELECT question_id, CASE WHEN n > 0 THEN 'NUMBER_FROM_UNCITED_PASSAGE' ELSE 'UNSUPPORTED_NUMBER' END AS code, CASE WHEN n > 0 THEN 'warning' ELSE 'error' END AS severity, number AS subject FROM judged WHERE NOT cited""",
+    "number_grounding": f"""{_NUMBER_FAULTS}
+SELECT question_id, code, severity, number AS subject FROM faults""",
+    "grounded_answers": f"""{_NUMBER_FAULTS}, n AS (SELECT question_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM faults GROUP BY 1)
+SELECT question_id, sha256(CASE WHEN errors > 0 THEN '{REFUSAL}' ELSE answer END) AS answer_sha256, CASE WHEN errors > 0 THEN 0 ELSE 1 END AS citations, coalesce(errors, 0) > 0 AS downgraded, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings
+FROM a LEFT JOIN n USING (question_id)""",
     "prompt_selection": f"""WITH RECURSIVE {CHUNKS}, {questions()}, {scores()},
 top AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM bm25) WHERE rank <= 12),
 held AS (SELECT DISTINCT question_id, passage_id, rank, length(term) % 3 AS c FROM top JOIN post USING (passage_id) JOIN qt USING (question_id, term)),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.functions.claims import ABBREVIATIONS, AUXILIARIES, INTERROGATIVES, LIST_MARKER, PLURAL_ES
-from loomwork.functions.text import STOPWORDS
+from loomwork.functions.claims import ABBREVIATIONS, AUXILIARIES, INTERROGATIVES, LIST_MARKER, PLURAL_ES, TERM, TERM_STOPWORDS
 from loomwork.jobs.oracle import _answer
 
 _BASE = """
@@ -78,9 +77,9 @@ def _sentences(x: str) -> str:
 
 def _terms(x: str) -> str:
     plain = f"lower(trim(regexp_replace(translate({x}, '‘’‚“”„‐‑‒–—−', '''''''\"\"\"------'), '\\s+', ' ', 'g'), ' '))"
-    stop = ", ".join(_quoted(w) for w in STOPWORDS)
+    stop = ", ".join(_quoted(w) for w in TERM_STOPWORDS)
     folded = f"CASE WHEN length(w) <= 4 THEN w WHEN regexp_matches(w, {_quoted(PLURAL_ES)}) THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END"
-    return f"list_distinct(list_transform(list_filter(regexp_extract_all({plain}, '[a-z][a-z\\-]*'), lambda w: length(w) >= 3 AND w NOT IN ({stop})), lambda w: {folded}))"
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all({plain}, {_quoted(TERM)}), lambda w: length(w) >= 3 AND w NOT IN ({stop})), lambda w: {folded}))"
 
 
 _MEANS = ", ".join(f"round(avg({n}), 6) AS {n}, count({n}) AS {n}_n" for n in _FIGURES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.jobs.scratch import kept
+from loomwork.scratch import kept
 from loomwork.operators import corpus, retrieval
 
 

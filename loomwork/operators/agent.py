@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.scratch import kept
 
 # Cues in order of priority, evidence requirements, and the words a retry adds.
 COMPARISON_CUES = (
@@ -188,14 +189,15 @@ def run_loop(
     questions: DataFrame,
     retrieve: Callable[[DataFrame], DataFrame],
     max_rounds: int = 3,
-    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
     sections: DataFrame | None = None,
     judge: Callable[[DataFrame, DataFrame], DataFrame] = judged_by_rules,
 ) -> DataFrame:
     """(question_id, round, query, triggered_by, section, fallback, retrieved, sufficient, gap, stop_reason) of every round of every question.
 
-    ``retrieve`` maps (question_id, scope, query, section) rows to hits (question_id, passage_id, rank, text, section);
-    ``keep`` writes a round's rows to a shared table, so that lineage does not grow. All open questions
+    ``retrieve`` maps (question_id, query) rows, with the scope where questions have one and the section where
+    ``sections`` are given, to hits (question_id, passage_id, rank, text, section);
+    ``keep`` writes a round's rows to a shared table (by default one of the job's own), so that lineage does not grow. All open questions
     go through a round together; passages of earlier rounds stay with their question, first seen first.
 
     With ``sections`` (scope, section, position) a retry searches the section that fits its gap best and that this
@@ -204,12 +206,14 @@ def run_loop(
     gap); the gap ``INSUFFICIENT_INFORMATION`` ends a question's loop.
     """
     scope = F.col("scope") if "scope" in questions.columns else F.lit(0)
+    keep = keep or kept(questions.sparkSession)
+    given = ["scope"] * ("scope" in questions.columns) + ["section"] * (sections is not None)
     needs = keep(requirements(questions), "needs")
     none, never = F.array().cast("array<string>"), F.lit(None).cast("string")
     state = questions.select("question_id", scope.alias("scope"), "question", F.col("question").alias("query"), F.array(F.col("question")).alias("used"), F.lit("NONE").alias("triggered_by"), never.alias("section"), none.alias("searched"))
     pool, log = None, None
     for turn in range(1, max_rounds + 1):
-        found = keep(retrieve(state.select("question_id", "scope", "query", "section")).withColumn("round", F.lit(turn)), f"hits-{turn}")
+        found = keep(retrieve(state.select("question_id", "query", *given)).withColumn("round", F.lit(turn)), f"hits-{turn}")
         both = found if pool is None else pool.unionByName(found)
         first = both.groupBy("question_id", "passage_id").agg(F.min_by(F.struct("round", "rank", "text", "section"), F.struct("round", "rank")).alias("h"))
         pool = keep(first.select("question_id", "passage_id", "h.*"), f"pool-{turn}")

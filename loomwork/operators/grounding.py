@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import claims as C
 from loomwork.functions import text as T
 
-DIRECT, PARTIAL, LEAST_TOKENS = 0.60, 0.35, 3
+DIRECT, PARTIAL, LEAST_TOKENS, MOST_PASSAGES = 0.60, 0.35, 3, 2
 REFUSAL = "Insufficient evidence in the retrieved passages."
 
 
@@ -44,16 +45,26 @@ def number_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
     return judged.where("not cited").select("question_id", code.alias("code"), F.when(F.col("n") > 0, "warning").otherwise("error").alias("severity"), F.col("number").alias("subject"))
 
 
+def _support(score: Column) -> Column:
+    return F.when(score >= DIRECT, "direct").when(score >= PARTIAL, "partial").otherwise("unsupported")
+
+
 def claim_support(answers: DataFrame, passages: DataFrame) -> DataFrame:
-    """Each claim (sentence of at least three content tokens) with its best passage, the share of its tokens there and the support."""
-    claims = answers.select("question_id", F.posexplode(T.sentences(F.col("answer"))).alias("claim", "sentence"))
-    claims = claims.withColumn("t", T.content_tokens(F.col("sentence"))).where(F.size("t") >= LEAST_TOKENS)
-    held = passages.select("question_id", "passage_id", T.content_tokens(F.col("text")).alias("u"))
-    scored = claims.join(held, "question_id", "left").withColumn("score", F.coalesce(F.size(F.array_intersect("t", "u")) / F.size("t"), F.lit(0.0)))
-    best = Window.partitionBy("question_id", "claim").orderBy(F.col("score").desc(), "passage_id")
-    top = scored.withColumn("r", F.row_number().over(best)).where("r = 1")
-    kind = F.when(F.col("score") >= DIRECT, "direct").when(F.col("score") >= PARTIAL, "partial").otherwise("none")
-    return top.select("question_id", "claim", "passage_id", T.rounded(F.col("score")).alias("score"), kind.alias("support"))
+    """(question_id, claim, sentence, passage_ids, score, support) of each claim: a sentence of at least three content terms.
+
+    ``answers``: question_id, answer; ``passages``: question_id, passage_id, place, text. The score is the best share of
+    the claim's terms in a passage. A direct claim names its two best direct passages, a partial one its best, an
+    unsupported one none; ties go to the earlier place. A question without passages has no claims to map.
+    """
+    claims = answers.select("question_id", F.posexplode(C.split_sentences(F.col("answer"))).alias("claim", "sentence"))
+    claims = claims.withColumn("t", C.content_terms(F.col("sentence"))).where(F.size("t") >= LEAST_TOKENS)
+    held = passages.select("question_id", "passage_id", "place", C.content_terms(F.col("text")).alias("u"))
+    scored = claims.join(held, "question_id").withColumn("score", F.size(F.array_intersect("t", "u")) / F.size("t"))
+    order = Window.partitionBy("question_id", "claim").orderBy(F.col("score").desc(), "place")
+    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MOST_PASSAGES)
+    best = top.groupBy("question_id", "claim").agg(F.max_by("sentence", -F.col("r")).alias("sentence"), F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("r", "passage_id", "score"))).alias("p"))
+    named = F.when(F.col("score") >= DIRECT, F.filter("p", lambda x: x["score"] >= DIRECT)).when(F.col("score") >= PARTIAL, F.slice("p", 1, 1)).otherwise(F.slice("p", 1, 0))
+    return best.select("question_id", "claim", "sentence", F.transform(named, lambda x: x["passage_id"]).alias("passage_ids"), T.rounded(F.col("score")).alias("score"), _support(F.col("score")).alias("support"))
 
 
 def quote_supported(quote: Column, text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.jobs.scratch import kept
+from loomwork.scratch import kept
 from loomwork.operators import agent, retrieval
 
 
