@@ -157,7 +157,7 @@ def answer_scores(spark, d):
 
 
 def call_latency(spark, d):
-    return evaluation.latency(table(spark, d, "events"), "event_type", "value", F.col("user_id") % 20 == 0)
+    return evaluation.latency(table(spark, d, "events"), "event_type", "value", F.col("user_id") % 20 == 0, "ts")
 
 
 def usage_cost(spark, d):

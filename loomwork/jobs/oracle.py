@@ -173,8 +173,9 @@ SELECT lang, CAST(overall AS TINYINT) AS overall, n, n00, n01, n10, n11, round(p
     "answer_scores": f"""WITH t AS (SELECT u.conv_id || '-' || u.turn AS question_id, {_answer("a.text")} AS p, {_answer("u.text")} AS r FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn WHERE u.role = 'user' AND a.role = 'assistant'),
 f AS (SELECT question_id, p, r, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0) AS shared FROM t)
 SELECT question_id, CAST(array_to_string(p, ' ') = array_to_string(r, ' ') AS INT) AS exact, round(CASE WHEN len(p) + len(r) = 0 THEN 1 ELSE 2 * shared / (len(p) + len(r)) END, 6) AS f1 FROM f""",
-    "call_latency": """SELECT event_type, count(*) AS calls, CAST(sum(CASE WHEN user_id % 20 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most
-FROM (SELECT *, CASE WHEN user_id % 20 <> 0 THEN value END AS v FROM events) GROUP BY 1""",
+    "call_latency": """SELECT event_type, count(*) AS calls, CAST(sum(CASE WHEN user_id % 20 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most,
+round(w, 6) AS wall_seconds, round(CASE WHEN w > 0 THEN count(*) / w END, 6) AS calls_per_second, round(CASE WHEN w > 0 THEN sum(CASE WHEN user_id % 20 <> 0 THEN 1 ELSE 0 END) / w END, 6) AS successes_per_second
+FROM (SELECT *, CASE WHEN user_id % 20 <> 0 THEN value END AS v, (epoch_us(max(ts) OVER g) - epoch_us(min(ts) OVER g)) / 1e6 AS w FROM events WINDOW g AS (PARTITION BY event_type)) GROUP BY event_type, w""",
     "usage_cost": """WITH u AS (SELECT event_type AS component, 'm' || (user_id % 3) AS model, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS input_tokens, 7 * count(*) AS output_tokens FROM events GROUP BY ALL)
 SELECT component, u.model, calls, input_tokens, output_tokens, round((input_tokens * i + output_tokens * o) / 1e6, 6) AS cost FROM u LEFT JOIN (VALUES ('m0', 2.0::DOUBLE, 6.0::DOUBLE), ('m1', 0.5::DOUBLE, 1.5::DOUBLE)) p(model, i, o) ON u.model = p.model""",
     "split_overlaps": "SELECT sha256(text) AS content, count(DISTINCT source) AS splits, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",

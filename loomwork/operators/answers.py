@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.operators.evaluation import word_scores
 
 
 def reference_texts(answers: Column) -> Column:
@@ -28,14 +29,6 @@ def references(gold: DataFrame) -> DataFrame:
     return found.select("question_id", F.col("refs").alias("references"), F.forall("answers", lambda a: F.coalesce(a["unanswerable"], F.lit(False))).alias("unanswerable"), valid.alias("valid"))
 
 
-def _pair(p: Column, r: Column) -> Column:
-    """Exact match and multiset token F1 of two word arrays."""
-    count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, t: s + F.least(count(p, t), count(r, t)))
-    total = F.size(p) + F.size(r)
-    return F.struct((F.array_join(p, " ") == F.array_join(r, " ")).cast("double").alias("em"), F.when(total == 0, 1.0).otherwise(2 * shared / F.greatest(total, F.lit(1))).alias("f1"))
-
-
 def qa_scores(questions: DataFrame, predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Status and scores of every question.
 
@@ -46,12 +39,11 @@ def qa_scores(questions: DataFrame, predictions: DataFrame, gold: DataFrame) ->
     full = questions.select("question_id").join(references(gold), "question_id", "left").join(predictions.select("question_id", F.col("text").alias("said"), F.col("status").alias("how")), "question_id", "left")
     usable = F.coalesce(F.col("valid"), F.lit(False))
     status = F.when(F.col("valid").isNull(), "missing_reference").when(~F.col("valid"), "invalid_reference").otherwise(F.coalesce("how", F.lit("missing_prediction")))
-    words = T.answer_words(F.coalesce("said", F.lit("")))
-    pairs = F.transform("references", lambda r: _pair(F.col("words"), T.answer_words(r)))
-    best = lambda f: F.when(F.col("how") == "answered", F.array_max(F.transform("pairs", lambda x: x[f]))).otherwise(0.0)
     open_ = usable & ~F.col("unanswerable")
-    scored = full.withColumn("words", words).withColumn("pairs", pairs)
-    em, f1 = F.when(open_, F.coalesce(best("em"), F.lit(0.0))), F.when(open_, F.coalesce(best("f1"), F.lit(0.0)))
+    tried = full.where(open_ & (F.col("how") == "answered")).select("question_id", T.answer_words(F.coalesce("said", F.lit(""))).alias("p"), F.posexplode("references").alias("n", "text"))
+    pairs = word_scores(tried.select("question_id", "n", "p", T.answer_words(F.col("text")).alias("r")), "question_id", "n")
+    scored = full.join(pairs.groupBy("question_id").agg(F.max("em").cast("double").alias("em"), F.max("f1").alias("f1")), "question_id", "left")
+    em, f1 = F.when(open_, F.coalesce("em", F.lit(0.0))), F.when(open_, F.coalesce("f1", F.lit(0.0)))
     right = F.when(usable & F.col("unanswerable"), (F.coalesce("how", F.lit("")) == "refused").cast("double"))
     return scored.select("question_id", status.alias("status"), T.rounded(em).alias("em"), T.rounded(f1).alias("f1"), right.alias("unanswerable_correct"), T.rounded(F.coalesce(right, f1)).alias("task_score"))
 

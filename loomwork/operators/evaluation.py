@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.operators.numbering import numbered
+from loomwork.operators.order_statistics import quantiles
 
 
 def binary_metrics(rankings: DataFrame, qrels: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -109,21 +110,39 @@ def agreement(pairs: DataFrame, by: str) -> DataFrame:
     return counts.select(by, "overall", "n", "n00", "n01", "n10", "n11", T.rounded(po).alias("agreement"), T.rounded(F.when(pe < 1, (po - pe) / (1 - pe))).alias("kappa"))
 
 
+def word_scores(pairs: DataFrame, *key: str) -> DataFrame:
+    """The key, em and f1 of pairs of word arrays p and r: equal in order, and the F1 of their multisets (1 where both are empty).
+
+    Words are counted a side, as rows; what both have is the smaller count. Keys must be unique.
+    """
+    side = lambda c: pairs.select(*key, F.explode(c).alias("word")).groupBy(*key, "word").agg(F.count("*").alias(c))
+    shared = side("p").join(side("r"), [*key, "word"]).groupBy(*key).agg(F.sum(F.least("p", "r")).alias("shared"))
+    sizes = pairs.select(*key, F.size("p").alias("np"), F.size("r").alias("nr"), (F.array_join("p", " ") == F.array_join("r", " ")).cast("int").alias("em"))
+    total = F.col("np") + F.col("nr")
+    return sizes.join(shared, list(key), "left").select(*key, "em", F.when(total == 0, 1.0).otherwise(2 * F.coalesce("shared", F.lit(0)) / F.greatest(total, F.lit(1))).alias("f1"))
+
+
 def answer_scores(pairs: DataFrame) -> DataFrame:
     """Exact match and multiset token F1 of (question_id, prediction, reference)."""
     parts = lambda c: T.answer_words(F.coalesce(F.col(c), F.lit("")))
     split = pairs.select("question_id", parts("prediction").alias("p"), parts("reference").alias("r"))
-    shared = F.aggregate(F.array_distinct("p"), F.lit(0), lambda s, t: s + F.least(F.size(F.filter("p", lambda x: x == t)), F.size(F.filter("r", lambda x: x == t))))
-    total = F.size("p") + F.size("r")
-    f1 = F.when(total == 0, 1.0).otherwise(2 * shared / F.greatest(total, F.lit(1)))
-    return split.select("question_id", (F.array_join("p", " ") == F.array_join("r", " ")).cast("int").alias("exact"), T.rounded(f1).alias("f1"))
+    return word_scores(split, "question_id").select("question_id", F.col("em").alias("exact"), T.rounded(F.col("f1")).alias("f1"))
+
 
+def latency(log: DataFrame, by: str, value: str, failed: Column, at: str | None = None) -> DataFrame:
+    """Calls, errors, and mean, p50, p95, p99 (exact, interpolated) and largest latency of calls that did not fail.
 
-def latency(log: DataFrame, by: str, value: str, failed: Column) -> DataFrame:
-    """Calls, errors, and mean, p50, p95, p99 (interpolated) and largest latency of calls that did not fail."""
+    With ``at``, the time of a call, also the seconds from the first to the last, and calls and successful calls a
+    second of that time, never of the sum of latencies; null where no time passes.
+    """
     fine = F.when(~failed, F.col(value))
-    cut = lambda q, n: T.rounded(F.percentile(fine, q)).alias(n)
-    return log.groupBy(by).agg(F.count("*").alias("calls"), F.sum(failed.cast("long")).alias("errors"), T.rounded(F.avg(fine)).alias("mean"), cut(0.5, "p50"), cut(0.95, "p95"), cut(0.99, "p99"), T.rounded(F.max(fine)).alias("most"))
+    counts = [F.count("*").alias("calls"), F.sum(failed.cast("long")).alias("errors"), T.rounded(F.avg(fine)).alias("mean"), T.rounded(F.max(fine)).alias("most")]
+    if at is not None:
+        wall = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6
+        rate = lambda n: T.rounded(F.when(wall > 0, n / wall))
+        counts += [T.rounded(wall).alias("wall_seconds"), rate(F.count("*")).alias("calls_per_second"), rate(F.count_if(~failed)).alias("successes_per_second")]
+    exact = quantiles(log, by, fine, (0.5, 0.95, 0.99)).select(F.col(by).alias("_by"), *(T.rounded(F.col(f"q{k}")).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    return log.groupBy(by).agg(*counts).join(exact, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
