@@ -34,13 +34,23 @@ def adaptive_loop(spark, d):
     return log.select("question_id", "round", "query", "retrieved", "sufficient", "gap", "stop_reason")
 
 
+def sectioned(spark, d):
+    """Passages with their source, in sections."""
+    name = F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), (F.pmod("doc_id", F.lit(len(SECTIONS))) + 1).cast("int"))
+    return _chunks(spark, d).drop("section").join(table(spark, d, "documents").select("doc_id", "source", name.alias("section")), "doc_id")
+
+
+def cued(questions):
+    """Questions with a cue before their text."""
+    cue = F.element_at(F.array(*(F.lit(c) for c in CUES)), (F.col("question_id") % len(CUES) + 1).cast("int"))
+    return questions.withColumn("question", F.trim(F.concat_ws(" ", cue, F.col("question"))))
+
+
 def sectioned_loop(spark, d):
     """Retries go to the section that fits the gap; a question without any passage ends for lack of information."""
     keep = kept(spark)
-    sources = table(spark, d, "documents").select("doc_id", "source", F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), (F.pmod("doc_id", F.lit(len(SECTIONS))) + 1).cast("int")).alias("section"))
-    chunks = keep(_chunks(spark, d).drop("section").join(sources, "doc_id"), "sectioned")
-    cue = F.element_at(F.array(*(F.lit(c) for c in CUES)), (F.col("question_id") % len(CUES) + 1).cast("int"))
-    questions = _questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % PAPERS).cast("string"))).withColumn("question", F.trim(F.concat_ws(" ", cue, F.col("question"))))
+    chunks = keep(sectioned(spark, d), "sectioned")
+    questions = cued(_questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % PAPERS).cast("string"))))
     weights = keep(retrieval.term_weights(chunks, F.col("source")), "weights")
 
     def retrieve(queries: DataFrame) -> DataFrame:
@@ -126,12 +136,19 @@ asked{r} AS MATERIALIZED (
 )"""
 
 
+def sectioned_sql() -> str:
+    name = f"list_extract({oracle._texts(SECTIONS)}, CAST(doc_id % {len(SECTIONS)} AS INT) + 1)"
+    return oracle.CHUNKS.replace("chunks AS (", "chunks0 AS (") + f", chunks AS MATERIALIZED (SELECT c.* REPLACE ({name} AS section), d.source FROM chunks0 c JOIN documents d USING (doc_id))"
+
+
+def cue_sql() -> str:
+    return f"list_extract({oracle._texts(CUES)}, CAST(item_id % {len(CUES)} AS INT) + 1)"
+
+
 def _loop(sectioned: bool, columns: str) -> str:
     chunks, scope, asked = oracle.CHUNKS, "0", oracle.questions()
     if sectioned:
-        sections = f"list_extract({oracle._texts(SECTIONS)}, CAST(doc_id % {len(SECTIONS)} AS INT) + 1)"
-        chunks = oracle.CHUNKS.replace("chunks AS (", "chunks0 AS (") + f", chunks AS MATERIALIZED (SELECT c.* REPLACE ({sections} AS section), d.source FROM chunks0 c JOIN documents d USING (doc_id))"
-        cue = f"list_extract({oracle._texts(CUES)}, CAST(item_id % {len(CUES)} AS INT) + 1)"
+        chunks, cue = sectioned_sql(), cue_sql()
         scope, asked = "source", oracle.questions(f"'src' || (item_id % {PAPERS})").replace("array_to_string(", f"trim({cue} || ' ' || array_to_string(", 1).replace(" AS question FROM", ") AS question FROM", 1)
     rounds = ",".join(_round(r, r == 3, sectioned) for r in (1, 2, 3))
     return f"""WITH {chunks}, {asked},
