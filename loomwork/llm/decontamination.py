@@ -425,7 +425,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, all columns, that hold no benchmark item; in one scan a shard, without a join."""
+    """The rows, all columns, that hold no benchmark item; in one scan a shard, without a join.
+
+    Null and empty texts hold none; repeated rows share their fate; ids play no part. A column may have
+    any name; an empty benchmark keeps all rows, an empty table gives none.
+    """
     at = documents.columns.index("text")
 
     def keep(index: Index):

@@ -49,6 +49,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), token_counts.fresh_cache(spark))
 
 
+def warm_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7, with a cache that an earlier run over the same documents has filled: nothing is encoded."""
+    cache = token_counts.fresh_cache(spark)
+    token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), cache)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), cache)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_quotes.digest(chat_quotes.link_quotes(table(spark, sf_dir, "conversations")))
 
@@ -67,6 +74,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def split_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, with every text over 500 characters a giant of chunks of 200: the scan does the work that whole texts do there."""
+    return sentencepiece_scan.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), giant=500, chunk=200)
+
+
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -87,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "warm_token_counts": warm_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
     "quoted_conversations": quoted_conversations,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "split_pieces": split_pieces,
     "op11_license_scan": op11_license_scan,
     "op12_vector_codes": op12_vector_codes,
     "op13_lexical_search": op13_lexical_search,

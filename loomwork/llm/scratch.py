@@ -12,9 +12,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one beside the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset on one machine, as in tests, one beside the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -55,5 +57,17 @@ def forget(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def apart(documents: DataFrame, *own: str) -> DataFrame:
+    """The documents with those columns renamed that are called like one of a step's own; ``toDF`` with the old names brings them back."""
+    taken, out = {*(c.lower() for c in documents.columns), *own}, []
+    for name in documents.columns:
+        new = name
+        while new.lower() in own or (new != name and new.lower() in taken):
+            new = "x" + new
+        taken.add(new.lower())
+        out.append(new)
+    return documents.toDF(*out)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.scratch import forget, stored
+from loomwork.llm.scratch import apart, forget, stored
 from loomwork.llm.textnp import Words, buffer_of, cover, group_bytes, joined, mix, slices
 
 WINDOW = 13
@@ -273,11 +273,16 @@ def removed_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, with removed words cut out of ``text``; texts without repeats stay byte for byte."""
+    """The documents, all columns, with removed words cut out of ``text``; texts without repeats stay byte for byte.
+
+    Which words go is as in ``removed_words``, with nulls, empty texts, repeated rows and ids treated alike;
+    ``n_chars``, where it is a column, follows the text. A column may have any name, also one used here.
+    """
     n_bytes = _size(documents)
     steps, repeats = _repeats(_narrow(documents, n_bytes), window, n_bytes)
-    wide = _bucketed(documents, 1 + n_bytes // BUCKET_BYTES)
-    return wide.groupBy(BUCKET).cogroup(repeats.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.cut(t, h), documents.schema)
+    rows = apart(documents, BUCKET)
+    wide = _bucketed(rows, 1 + n_bytes // BUCKET_BYTES)
+    return wide.groupBy(BUCKET).cogroup(repeats.groupBy(BUCKET)).applyInArrow(lambda t, h: steps.cut(t, h), rows.schema).toDF(*documents.columns)
 
 
 _LEADS = "".join(f" || ' ' || lead(word, {k}) OVER x" for k in range(1, WINDOW))

@@ -456,7 +456,11 @@ def score(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFra
 
 
 def without_toxic(documents: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows, all columns, whose text scores below the cutoff; in one scan, without a join."""
+    """The rows, all columns, whose text scores below the cutoff; in one scan, without a join.
+
+    Null and empty texts are scored like any other; repeated rows share their fate; ids play no part.
+    A column may have any name; an empty table gives no rows.
+    """
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
