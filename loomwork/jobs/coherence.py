@@ -15,7 +15,7 @@ from loomwork.scratch import kept
 from loomwork.jobs.tables import chunks as _chunks
 from loomwork.jobs.tables import questions as _questions
 from loomwork.jobs.tables import table
-from loomwork.operators import coherence, grounding, retrieval
+from loomwork.operators import coherence, grounding, retrieval, spans
 
 K, SHOWN = 5, 4
 
@@ -61,13 +61,18 @@ def answer_verdicts(spark, d):
     return coherence.summed(*_codes(spark, d))
 
 
+def flagged_spans(spark, d):
+    answers, found = _codes(spark, d)
+    return spans.flagged(answers, found)
+
+
 def claim_support(spark, d):
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("answer"))
     found = grounding.claim_support(answers, _passages(spark, d))
     return found.select("question_id", "claim", F.sha2("sentence", 256).alias("sentence_sha256"), F.array_join("passage_ids", ",").alias("passage_ids"), "score", "support")
 
 
-QUERY_FUNCTIONS = (answer_codes, answer_verdicts, claim_support)
+QUERY_FUNCTIONS = (answer_codes, answer_verdicts, flagged_spans, claim_support)
 
 _HITS = f"""
 hits AS MATERIALIZED (
@@ -129,6 +134,25 @@ ORACLE_SQL = {
     "answer_verdicts": f"""{_START}, {_CODES}, each_ AS (
   SELECT question_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes FROM codes GROUP BY 1)
 SELECT question_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(codes, '') AS codes, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'ok' END AS worst FROM answers LEFT JOIN each_ USING (question_id)""",
+    "flagged_spans": f"""{_START}, {_CODES},
+said_ AS (SELECT item_id AS question_id, CASE WHEN a.stop THEN '{grounding.REFUSAL}' ELSE text END AS answer FROM benchmark JOIN answers a ON a.question_id = item_id),
+cut_ AS (SELECT question_id, unnest(m) AS s, unnest(range(len(m))) AS i FROM (SELECT question_id, regexp_extract_all(answer, '(?s)\\s*\\S.*?(?:[.!?](?:\\s|$)|$)') AS m FROM said_)),
+sentence AS (
+  SELECT question_id, stop_ - CASE WHEN regexp_matches(s, '\\s$') THEN 1 ELSE 0 END AS stop, stop_ - length(s) + length(s) - length(ltrim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS start, list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+')) AS w
+  FROM (SELECT *, sum(length(s)) OVER (PARTITION BY question_id ORDER BY i) AS stop_ FROM cut_)
+), flag AS (
+  SELECT question_id, code, subject, answer, trim(subject) AS bare, CASE WHEN len(regexp_extract_all(subject, '\\S+')) >= {spans.LEAST_WORDS} THEN instr(answer, trim(subject)) - 1 ELSE -1 END AS start,
+         list_distinct(regexp_extract_all(lower(subject), '[\\p{{L}}\\p{{N}}_]+')) AS want FROM codes JOIN said_ USING (question_id)
+), span AS (
+  SELECT DISTINCT question_id, start, CASE WHEN length(subject) < {spans.CUT} THEN start + length(bare)
+         ELSE start + length(bare) + coalesce(length(regexp_extract(substr(answer, CAST(start + length(bare) + 1 AS BIGINT)), '(?s)^(.*?[.!?])(?:\\s|$)', 1)), 0) END AS stop FROM flag WHERE start >= 0
+  UNION
+  SELECT question_id, start, stop FROM (
+    SELECT f.question_id, s.start, s.stop, row_number() OVER (PARTITION BY f.question_id, f.code, f.subject ORDER BY len(list_intersect(want, w)) DESC, s.start DESC) AS r
+    FROM flag f JOIN sentence s USING (question_id) WHERE f.start < 0 AND code IN {spans.PARAPHRASED} AND len(list_intersect(want, w)) / greatest(len(want), 1) >= {spans.CLOSE}) WHERE r = 1
+), parted AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY question_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM span),
+island AS (SELECT *, sum(new) OVER (PARTITION BY question_id ORDER BY start, stop) AS k FROM parted)
+SELECT question_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end" FROM island GROUP BY question_id, k""",
     "claim_support": f"""{_START}, sent AS (SELECT item_id AS question_id, unnest(s) AS sentence, CAST(unnest(range(len(s))) AS INT) AS claim FROM (SELECT item_id, {runs_oracle._sentences("text")} AS s FROM benchmark)),
 claims AS (SELECT *, {runs_oracle._terms("sentence")} AS t FROM sent),
 scored AS (SELECT question_id, claim, sentence, passage_id, place, len(list_intersect(t, {runs_oracle._terms("text")})) / len(t) AS score FROM claims JOIN hits USING (question_id) WHERE len(t) >= {grounding.LEAST_TOKENS}),

@@ -12,10 +12,11 @@ from loomwork.jobs import loops, oracle
 from loomwork.jobs.tables import chunks as _chunks
 from loomwork.jobs.tables import questions as _questions
 from loomwork.jobs.tables import table
-from loomwork.operators import acceptance, containers, retrieval
+from loomwork.operators import acceptance, containers, retrieval, spans
 from loomwork.scratch import kept
 
 TARGET = 200
+DEPTH, BUDGETS = 10, (150, 500, 1000, 2000)
 
 
 def exact_sample(spark, d):
@@ -34,7 +35,18 @@ def plan_acceptance(spark, d):
     return acceptance.acceptance(questions, units, gold, keep=keep)
 
 
-QUERY_FUNCTIONS = (exact_sample, plan_acceptance)
+def word_budgets(spark, d):
+    chunks, questions, keep = _chunks(spark, d), _questions(spark, d), kept(spark)
+    top = retrieval.ranked(retrieval.bm25_scores(chunks, questions), DEPTH).withColumn("method", F.lit("bm25"))
+    more = retrieval.ranked(retrieval.overlap_scores(chunks, questions), DEPTH).withColumn("method", F.lit("overlap"))
+    ranked = keep(top.unionByName(more).join(chunks.select("passage_id", "n_words"), "passage_id").select("question_id", "method", "passage_id", "rank", "n_words"), "ranked")
+    evidence = table(spark, d, "benchmark")
+    gold = retrieval.gold_by_containment(chunks, evidence).select(F.col("item_id").alias("question_id"), "passage_id")
+    places = keep(spans.evidence_places(chunks, evidence.select(F.col("item_id").alias("question_id"), "text"), gold), "places")
+    return spans.budget_hits(ranked, places, list(BUDGETS))
+
+
+QUERY_FUNCTIONS = (exact_sample, plan_acceptance, word_budgets)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -47,6 +59,19 @@ def oracle_sql() -> dict[str, str]:
     figure = lambda kind: f"count(*) FILTER (judged AND question_id IN {accepted(kind)}) AS {kind}"
     figures = f"count(*) AS questions, count(*) FILTER (judged) AS judged, {figure('gold')}, {figure('hard')}, {figure('matched')}"
     return {
+        "word_budgets": f"""{oracle._BASE}, {oracle._GOLD},
+spaced AS (
+  SELECT question_id, passage_id, n_words, len(regexp_extract_all(b.text, '{oracle.WORD}')) AS nv, ' ' || array_to_string(regexp_extract_all(c.text, '{oracle.WORD}'), ' ') || ' ' AS w, ' ' || array_to_string(regexp_extract_all(b.text, '{oracle.WORD}'), ' ') || ' ' AS v
+  FROM gold JOIN chunks c USING (passage_id) JOIN benchmark b ON b.item_id = question_id
+), places AS (
+  SELECT question_id, passage_id, CASE WHEN instr(w, v) > 0 THEN len(string_split(substr(w, 1, instr(w, v)), ' ')) - 2 + nv ELSE n_words END AS last_word FROM spaced
+), placed AS (SELECT question_id, method, passage_id, rank, n_words, sum(n_words) OVER (PARTITION BY question_id, method ORDER BY rank) - n_words AS before FROM rankings JOIN chunks USING (passage_id)),
+shown AS (SELECT *, least(n_words, budget - before) AS shown FROM placed, (SELECT unnest({list(BUDGETS)}) AS budget) WHERE before < budget),
+each_ AS (
+  SELECT question_id, method, budget, max(CASE WHEN last_word <= shown THEN 1 ELSE 0 END) AS hit, sum(shown) AS words, max(CASE WHEN shown < n_words THEN 1 ELSE 0 END) AS cut
+  FROM shown LEFT JOIN places USING (question_id, passage_id) GROUP BY ALL
+)
+SELECT method, CAST(budget AS INT) AS budget, count(*) AS questions, CAST(sum(hit) AS BIGINT) AS hits, round(avg(words), 6) AS words, CAST(sum(cut) AS BIGINT) AS partial FROM each_ GROUP BY method, budget""",
         "exact_sample": f"""WITH RECURSIVE {oracle.CHUNKS},
 sizes AS (SELECT source AS paper, c.doc_id AS container, count(*) AS size FROM chunks c JOIN documents d USING (doc_id) GROUP BY ALL),
 options AS MATERIALIZED (SELECT paper, size, min(container) AS container, dense_rank() OVER (ORDER BY paper) AS k FROM sizes WHERE size <= {TARGET} GROUP BY paper, size),
