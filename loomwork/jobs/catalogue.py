@@ -34,7 +34,7 @@ def _rankings(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     chunks, questions = _chunks(spark, d), _questions(spark, d)
     a = retrieval.ranked(retrieval.bm25_scores(chunks, questions), k).withColumn("method", F.lit("bm25"))
     b = retrieval.ranked(retrieval.overlap_scores(chunks, questions), k).withColumn("method", F.lit("overlap"))
-    return a.unionByName(b).select("question_id", "method", "passage_id", "rank", "score")
+    return kept(spark)(a.unionByName(b).select("question_id", "method", "passage_id", "rank", "score"), "rankings")  # read several times
 
 
 def passages(spark, d):
@@ -119,9 +119,10 @@ def candidate_pool(spark, d):
 
 def judged_coverage(spark, d):
     gold = _gold(spark, d).withColumn("grade", F.lit(1))
-    seen = _rankings(spark, d).where("method = 'bm25' and rank <= 3").select("question_id", "passage_id", F.lit(0).alias("grade"))
+    rankings = _rankings(spark, d)
+    seen = rankings.where("method = 'bm25' and rank <= 3").select("question_id", "passage_id", F.lit(0).alias("grade"))
     judged = gold.unionByName(seen).groupBy("question_id", "passage_id").agg(F.max("grade").alias("grade"))
-    return evaluation.coverage(_rankings(spark, d), judged, 5)
+    return evaluation.coverage(rankings, judged, 5)
 
 
 def depth_curve(spark, d):

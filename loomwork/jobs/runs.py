@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import claims
 from loomwork.operators import answers, corpus, hits, retrieval, runs
+from loomwork.scratch import kept
 
 
 def table(spark, d: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _rankings(spark, d, k: int = 10) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     asked = vectors.where("vec_id % 50 = 0")
     both = [retrieval.dense_top_k(vectors, asked, k, same_label=s).select(F.col("query_id").alias("question_id"), F.lit(m).alias("method"), F.col("vec_id").alias("passage_id"), "rank", "score") for m, s in (("all", False), ("scoped", True))]
-    return both[0].unionByName(both[1])
+    return kept(spark)(both[0].unionByName(both[1]), "rankings")  # read several times
 
 
 def _questions(spark, d) -> DataFrame:
@@ -49,7 +50,7 @@ def _retrieved(rankings: DataFrame) -> DataFrame:
     return first.unionByName(rankings.where("method = 'scoped' and rank <= 7 and question_id % 100 = 0").select("question_id", F.lit(2).alias("round"), "passage_id"))
 
 
-_FIGURES = ["precision", "recall", "pool_recall", "mrr", "judged_precision", "judged_mrr"]
+_FIGURES = ["precision", "recall", "pool_recall", "mrr", "ndcg", "pool_ndcg", "judged_precision", "judged_recall", "judged_mrr", "judged_ndcg"]
 
 
 def labelled_evaluation(spark, d):

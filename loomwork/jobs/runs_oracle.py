@@ -22,15 +22,18 @@ _EVALUATED = """
 seen AS (SELECT r.question_id, r.method, r.rank, j.grade, count(j.grade) OVER (PARTITION BY r.question_id, r.method ORDER BY r.rank) AS place FROM rankings r LEFT JOIN judgments j USING (question_id, passage_id)),
 cells AS (SELECT question_id, complete, method, k FROM labels_, (SELECT DISTINCT method FROM rankings), (VALUES (1), (5), (10)) t(k) WHERE status = 'mapped'),
 got AS (SELECT c.question_id, c.method, k, complete, count(*) FILTER (rank <= k) AS returned, count(grade) FILTER (rank <= k) AS known, count(*) FILTER (rank <= k AND grade > 0) AS hits,
-  min(rank) FILTER (rank <= k AND grade > 0) AS first, count(*) FILTER (grade > 0 AND place <= k) AS jh, min(place) FILTER (grade > 0 AND place <= k) AS jf FROM cells c LEFT JOIN seen USING (question_id, method) GROUP BY ALL),
+  min(rank) FILTER (rank <= k AND grade > 0) AS first, count(*) FILTER (grade > 0 AND place <= k) AS jh, min(place) FILTER (grade > 0 AND place <= k) AS jf,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= k AND grade > 0), 0) AS dcg, coalesce(sum(1 / log2(place + 1)) FILTER (grade > 0 AND place <= k), 0) AS jdcg FROM cells c LEFT JOIN seen USING (question_id, method) GROUP BY ALL),
 need AS (SELECT question_id, count(*) AS relevant FROM gold GROUP BY 1),
 evaluated AS (SELECT question_id, method, k, returned,
   CASE WHEN returned = 0 THEN 'no_passages' WHEN NOT full_ THEN 'unjudged_top_k' WHEN relevant = 0 THEN 'no_relevant_judgments' WHEN hits = 0 THEN 'no_known_positive_at_k' ELSE 'known_positive_hit' END AS category,
   round(CASE WHEN returned > 0 THEN known / returned ELSE 1 END, 6) AS coverage, round(CASE WHEN full_ THEN hits / k END, 6) AS precision,
   round(CASE WHEN full_ AND complete AND relevant > 0 THEN hits / relevant END, 6) AS recall, round(CASE WHEN full_ AND NOT complete AND relevant > 0 THEN hits / relevant END, 6) AS pool_recall,
-  round(CASE WHEN full_ THEN coalesce(1 / first, 0) END, 6) AS mrr, round(jh / k, 6) AS judged_precision, round(coalesce(1 / jf, 0), 6) AS judged_mrr, relevant - hits AS missing
-  FROM (SELECT *, complete OR known = returned AS full_ FROM (SELECT got.*, coalesce(need.relevant, 0) AS relevant FROM got LEFT JOIN need USING (question_id))))"""
-_FIGURES = ["precision", "recall", "pool_recall", "mrr", "judged_precision", "judged_mrr"]
+  round(CASE WHEN full_ THEN coalesce(1 / first, 0) END, 6) AS mrr, round(jh / k, 6) AS judged_precision, round(coalesce(1 / jf, 0), 6) AS judged_mrr, relevant - hits AS missing,
+  round(CASE WHEN full_ AND complete AND relevant > 0 THEN dcg / best END, 6) AS ndcg, round(CASE WHEN full_ AND NOT complete AND relevant > 0 THEN dcg / best END, 6) AS pool_ndcg,
+  round(CASE WHEN relevant > 0 THEN jh / relevant END, 6) AS judged_recall, round(CASE WHEN relevant > 0 THEN jdcg / best END, 6) AS judged_ndcg
+  FROM (SELECT *, complete OR known = returned AS full_, list_sum(list_transform(range(1, greatest(1, least(k, relevant)) + 1), lambda i: 1 / log2(i + 1))) AS best FROM (SELECT got.*, coalesce(need.relevant, 0) AS relevant FROM got LEFT JOIN need USING (question_id))))"""
+_FIGURES = ["precision", "recall", "pool_recall", "mrr", "ndcg", "pool_ndcg", "judged_precision", "judged_recall", "judged_mrr", "judged_ndcg"]
 _ROUNDS = """
 found AS (SELECT question_id, passage_id, min(round) AS round FROM retrieved GROUP BY ALL),
 added AS (SELECT f.question_id, f.round, count(*) AS new, count(g.passage_id) AS new_gold FROM found f LEFT JOIN gold g USING (question_id, passage_id) GROUP BY ALL),

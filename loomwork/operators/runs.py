@@ -25,7 +25,7 @@ def labelled_evaluation(rankings: DataFrame, judgments: DataFrame, labels: DataF
 
     Where the labels are incomplete and the top k holds a passage without a judgment, full figures are null
     rather than counting it as irrelevant; where they are incomplete but all of the top k is judged, recall
-    is relative to the pool. ``judged_*`` are those of the ranking of judged passages only. ``category``
+    and nDCG are relative to the pool. ``judged_*`` are those of the ranking of judged passages only. ``category``
     names why a question fails. Labels have question_id, status and complete.
     """
     mapped = labels.where("status = 'mapped'").select("question_id", "complete")
@@ -38,6 +38,7 @@ def labelled_evaluation(rankings: DataFrame, judgments: DataFrame, labels: DataF
     got = cells.join(seen, ["question_id", "method"], "left").groupBy("question_id", "method", "k", "complete").agg(
         F.count_if(inside).alias("returned"), F.count_if(inside & F.col("grade").isNotNull()).alias("known"), F.count_if(inside & good).alias("hits"),
         F.min(F.when(inside & good, F.col("rank"))).alias("first"), F.count_if(compressed).alias("judged_hits"), F.min(F.when(compressed, F.col("place"))).alias("judged_first"),
+        F.coalesce(F.sum(F.when(inside & good, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"), F.coalesce(F.sum(F.when(compressed, 1 / F.log2(F.col("place") + 1.0))), F.lit(0.0)).alias("judged_dcg"),
     )
     relevant = judgments.where("grade > 0").groupBy("question_id").agg(F.count("*").alias("relevant"))
     got = got.join(relevant, "question_id", "left").na.fill({"relevant": 0})
@@ -48,10 +49,13 @@ def labelled_evaluation(rankings: DataFrame, judgments: DataFrame, labels: DataF
         .when(F.col("hits") == 0, "no_known_positive_at_k").otherwise("known_positive_hit")
     )
     share = F.col("hits") / F.col("relevant")
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("k", F.col("relevant").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return got.select(
         "question_id", "method", "k", "returned", category.alias("category"),
         T.rounded(F.when(F.col("returned") > 0, F.col("known") / F.col("returned")).otherwise(1.0)).alias("coverage"),
         T.rounded(F.when(full, F.col("hits") / F.col("k"))).alias("precision"), T.rounded(F.when(full & complete & some, share)).alias("recall"),
+        T.rounded(F.when(full & complete & some, F.col("dcg") / best)).alias("ndcg"), T.rounded(F.when(full & ~complete & some, F.col("dcg") / best)).alias("pool_ndcg"),
+        T.rounded(F.when(some, F.col("judged_hits") / F.col("relevant"))).alias("judged_recall"), T.rounded(F.when(some, F.col("judged_dcg") / best)).alias("judged_ndcg"),
         T.rounded(F.when(full & ~complete & some, share)).alias("pool_recall"), T.rounded(F.when(full, F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr"),
         T.rounded(F.col("judged_hits") / F.col("k")).alias("judged_precision"), T.rounded(F.coalesce(1 / F.col("judged_first"), F.lit(0.0))).alias("judged_mrr"),
         (F.col("relevant") - F.col("hits")).alias("missing"),
