@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of the test items with block-max WAND, queried with every passage of every document.
 
 Passages are overlapping word windows, twice as long as the longest item, so an item of a text lies
-whole in one of them. A passage retrieves each item that scores at least ``SHARE`` of what the item
+whole in one of them. Items of more than ``ONE_INDEX`` words stand in indexes of their own by length, each
+with its own passages, so that a long item does not make those of the short ones long. A passage retrieves each item that scores at least ``SHARE`` of what the item
 scores against itself. Items are numbered by self-score and stand in blocks; a term has one posting
 list (items and impacts) and the largest impact of each of its blocks.
 
@@ -30,7 +31,7 @@ import sys
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +50,8 @@ BLOCK = 4
 PASSED_BY = 0.3
 SHINGLE, OVERLAP = 5, 0.8
 LEAST_STRIDE = 64
+ONE_INDEX = 1024
+"""Words up to which items share one index and its passages; longer ones have layers of their own."""
 MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -160,7 +163,7 @@ def holds(words: Sequence[bytes], part: Sequence[bytes] | Item) -> bool:
 
 @dataclass
 class Statistics:
-    """What scores depend on: items, words in them, words of the longest, and how many items hold a term."""
+    """What scores depend on: items, words in them, and how many items hold a term; and the words of the longest item of an index."""
 
     n: int
     words: int
@@ -302,11 +305,11 @@ class Index:
             cursors[: pivot + 1] = moved
         return out
 
-    def retrieve(self, words: Words) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    def retrieve(self, words: Words, hashed: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """Passages of each text; and (row, first word, word after the last, item) of every item retrieved."""
         n = self.passages(words.counts)
         begin = np.cumsum(n) - n
-        term = self.term_of(words.hashes())
+        term = self.term_of(hashed)
         at = np.flatnonzero((term >= 0) & self.looked_up[term])
         slot = words.place()[at] // self.stride  # stretch of the text; a passage is a stretch and the next
         row = words.row[at]
@@ -323,22 +326,66 @@ class Index:
             hits += [(text, first, last, k) for k in self.wand(mine[mine >= 0].tolist())]
         return n, hits
 
-    def verified(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Of each text: passages, items retrieved (once a passage), and ids of the items whose question and answer it holds."""
-        buf, offs = buffer_of(column)
-        words = Words(_FOLD[buf], offs)
-        n, hits = self.retrieve(words) if len(self.ids) else (np.ones(len(column), np.int64), [])
-        found: list[set[int]] = [set() for _ in range(len(column))]
-        retrieved = np.zeros(len(column), np.int64)
+    def found_in(self, words: Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """As ``verified``, of words and their hashes."""
+        n, hits = self.retrieve(words, hashed) if len(self.ids) else (np.ones(len(words.counts), np.int64), [])
+        found: list[set[int]] = [set() for _ in range(len(words.counts))]
+        retrieved = np.zeros(len(words.counts), np.int64)
         for text, first, last, item in hits:
             retrieved[text] += 1
             if self.ids[item] not in found[text]:
                 passage = [words.buf[a:b].tobytes() for a, b in zip(words.starts[first:last].tolist(), words.ends[first:last].tolist())]
                 if all(part.within(passage) for part in self.parts[item]):
                     found[text].add(self.ids[item])
+        return n, retrieved, found
+
+    def verified(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Of each text: passages, items retrieved (once a passage), and ids of the items whose question and answer it holds."""
+        return Layers([self]).verified(column)
+
+
+class Layers:
+    """Indexes of items of like lengths, asked one after another for the same words: a long item makes only its own passages long."""
+
+    def __init__(self, indexes: Sequence[Index]):
+        self.indexes = list(indexes)
+
+    def verified(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """As ``Index.verified``; passages counted are those of the shortest items, retrievals those of all."""
+        buf, offs = buffer_of(column)
+        words = Words(_FOLD[buf], offs)
+        hashed = words.hashes()
+        n, retrieved, found = self.indexes[0].found_in(words, hashed)
+        for index in self.indexes[1:]:
+            _, more, also = index.found_in(words, hashed)
+            retrieved, found = retrieved + more, [a | b for a, b in zip(found, also)]
         return n, retrieved, [sorted(x) for x in found]
 
 
+def length_class(n_words: int) -> int:
+    """0 for items of up to ``ONE_INDEX`` words; lengths of a later class differ by less than four times."""
+    out = 0
+    while n_words > ONE_INDEX << 2 * out:
+        out += 1
+    return out
+
+
+def indexed(items: Sequence[tuple[int, str]], known: Statistics | None = None) -> Index | Layers:
+    """The index of the items, with layers for long ones; statistics are those of all items, the longest being the longest of class 0."""
+    items = sorted(items, key=lambda x: (x[0], x[1]))
+    words = _folded(pa.array([t for _, t in items], pa.large_string()))
+    classes: dict[int, list[int]] = {0: []}
+    for k, n in enumerate(words.counts.tolist()):
+        classes.setdefault(length_class(n), []).append(k)
+    if known is None:
+        terms, term = np.unique(words.hashes(), return_inverse=True)
+        held = np.unique(term * np.int64(max(1, len(items))) + words.row) // max(1, len(items))
+        longest = int(max(words.counts[classes[0]], default=0))
+        known = Statistics(int((words.counts > 0).sum()), int(words.counts.sum()), longest, terms, np.bincount(held, minlength=len(terms)))
+    layers = [Index([items[k] for k in mine], known if c == 0 else replace(known, longest=ONE_INDEX << 2 * c)) for c, mine in sorted(classes.items())]
+    return layers[0] if len(layers) == 1 else Layers(layers)
+
+
 def _folded(column: pa.Array) -> Words:
     words = Words(*buffer_of(column))
     return Words(_FOLD[words.buf], words.offs)
@@ -359,25 +406,25 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(term.view(np.int64)), pa.array(np.where(first, words.counts[row], 0)), pa.array(first)], names=["shard", "term", "words", "first"])
 
 
-def shards(benchmark: DataFrame) -> list[Index] | _Shards:
+def shards(benchmark: DataFrame) -> list[Index | Layers] | _Shards:
     """The index, or several one after another where the benchmark exceeds the bound of one. Items without words or an id are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n = max(1, -(-2 * size.n // MAX_ITEMS) if size.n > MAX_ITEMS else 1, -(-2 * size.bytes // MAX_BYTES) if size.bytes > MAX_BYTES else 1)
     if n == 1:
-        return [Index([tuple(r) for r in items.collect()])]
+        return [indexed([tuple(r) for r in items.collect()])]
     items = items.select(F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("shard"), "item_id", "text")
     terms = stored(items.mapInArrow(_terms, "shard long, term long, words long, first boolean"), "item-terms")
     df = stored(terms.groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
-    whole = terms.agg(F.count_if("first"), F.sum("words"), F.max("words")).first()
+    whole = terms.agg(F.count_if("first"), F.sum("words"), F.coalesce(F.max(F.when(F.col("words") <= ONE_INDEX, F.col("words"))), F.lit(0))).first()
 
-    def made() -> Iterator[Index]:
+    def made() -> Iterator[Index | Layers]:
         for k in range(n):
             own = df.join(terms.where(F.col("shard") == k).select("term").distinct(), "term").toArrow()
             term = own.column("term").to_numpy().view(np.uint64)
             order = np.argsort(term)
             known = Statistics(*whole, term[order], own.column("df").to_numpy()[order])
-            yield Index([tuple(r) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()], known)
+            yield indexed([tuple(r) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()], known)
 
     return _Shards(n, made)
 
@@ -389,7 +436,7 @@ class _Shards:
     def __len__(self) -> int:
         return self.n
 
-    def __iter__(self) -> Iterator[Index]:
+    def __iter__(self) -> Iterator[Index | Layers]:
         return self.made()
 
 
@@ -404,7 +451,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     finds nothing; an empty table gives no rows.
     """
 
-    def look(index: Index):
+    def look(index: Index | Layers):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -432,7 +479,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     at = documents.columns.index("text")
 
-    def keep(index: Index):
+    def keep(index: Index | Layers):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
