@@ -72,7 +72,15 @@ def claim_support(spark, d):
     return found.select("question_id", "claim", F.sha2("sentence", 256).alias("sentence_sha256"), F.array_join("passage_ids", ",").alias("passage_ids"), "score", "support")
 
 
-QUERY_FUNCTIONS = (answer_codes, answer_verdicts, flagged_spans, claim_support)
+def supported_quotes(spark, d):
+    """Quotes of an item's first eight and last five words with an ellipsis between, one word changed in every third, in its passages."""
+    words = T.words(F.col("text"))
+    head = F.when(F.col("item_id") % 3 == 0, F.concat(F.slice(words, 1, 7), F.array(F.lit("changed")))).otherwise(F.slice(words, 1, 8))
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat_ws(" ... ", F.array_join(head, " "), F.array_join(F.slice(words, -4, 4), " ")).alias("quote"))
+    return _passages(spark, d).join(quotes, "question_id").select("question_id", "passage_id", grounding.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+
+
+QUERY_FUNCTIONS = (answer_codes, answer_verdicts, flagged_spans, claim_support, supported_quotes)
 
 _HITS = f"""
 hits AS MATERIALIZED (
@@ -127,6 +135,8 @@ clauses AS (
   UNION ALL SELECT question_id, ended, '' FROM full_
 ), severity(code, severity) AS (VALUES {", ".join(f"('{c}', '{s}')" for c, s in coherence.SEVERITY.items())}),
 codes AS (SELECT DISTINCT question_id, code, severity, subject FROM all_ JOIN severity USING (code))"""
+_QUOTE_WORDS = lambda x: f"regexp_extract_all(lower({x}), '{grounding.QUOTE_WORD.replace(chr(39), chr(39) * 2)}')"
+_TRIPLES = lambda x: f"list_distinct(list_transform(range(1, greatest(len({x}) - 2, 1) + 1), lambda i: array_to_string(list_slice({x}, i, i + 2), ' ')))"
 _START = f"WITH {oracle.CHUNKS}, {oracle.questions()}, {oracle.scores()}, {_HITS}"
 
 ORACLE_SQL = {
@@ -153,6 +163,17 @@ sentence AS (
 ), parted AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY question_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM span),
 island AS (SELECT *, sum(new) OVER (PARTITION BY question_id ORDER BY start, stop) AS k FROM parted)
 SELECT question_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end" FROM island GROUP BY question_id, k""",
+    "supported_quotes": f"""{_START}, quoted AS (
+  SELECT item_id AS question_id, array_to_string(CASE WHEN item_id % 3 = 0 THEN list_concat(list_slice(w, 1, 7), ['changed']) ELSE list_slice(w, 1, 8) END, ' ') || ' ... ' || array_to_string(list_slice(w, -4, -1), ' ') AS quote
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)
+), parts AS (SELECT question_id, unnest(string_split_regex(quote, '\\.\\.\\.|…')) AS part FROM quoted),
+p AS (SELECT question_id, w FROM (SELECT question_id, {_QUOTE_WORDS("part")} AS w FROM parts) WHERE len(w) > 0),
+h AS (SELECT question_id, passage_id, {_QUOTE_WORDS("text")} AS t FROM hits),
+each_ AS (
+  SELECT question_id, passage_id, len(w) AS n, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(w, ' ') || ' ') OR (len(w) >= 3 AND len(list_intersect({_TRIPLES("w")}, {_TRIPLES("t")})) / len({_TRIPLES("w")}) >= {grounding.QUOTE_SHARE}) AS stands
+  FROM h JOIN p USING (question_id)
+)
+SELECT question_id, passage_id, coalesce(sum(n) >= {grounding.QUOTE_WORDS} AND bool_and(stands), false) AS supported FROM h LEFT JOIN each_ USING (question_id, passage_id) GROUP BY ALL""",
     "claim_support": f"""{_START}, sent AS (SELECT item_id AS question_id, unnest(s) AS sentence, CAST(unnest(range(len(s))) AS INT) AS claim FROM (SELECT item_id, {runs_oracle._sentences("text")} AS s FROM benchmark)),
 claims AS (SELECT *, {runs_oracle._terms("sentence")} AS t FROM sent),
 scored AS (SELECT question_id, claim, sentence, passage_id, place, len(list_intersect(t, {runs_oracle._terms("text")})) / len(t) AS score FROM claims JOIN hits USING (question_id) WHERE len(t) >= {grounding.LEAST_TOKENS}),

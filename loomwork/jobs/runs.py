@@ -190,7 +190,8 @@ def question_clauses(spark, d):
 
 
 def rendered_passages(spark, d):
-    shown = claims.truncated(claims.rendered(F.col("doc_id").cast("string"), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") / 8.0), F.coalesce("text", F.lit(""))), 400)
+    title = F.when(F.col("doc_id") % 4 != 1, F.substring_index(F.coalesce("text", F.lit("")), " ", 6))
+    shown = claims.rendered(F.col("source"), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") / 8.0), title, F.coalesce("text", F.lit("")), 400)
     return table(spark, d, "documents").select("doc_id", F.length(shown).alias("n_chars"), F.sha2(shown, 256).alias("sha256"))
 
 

@@ -151,8 +151,10 @@ round(avg(f1) FILTER (status = 'answered'), 6) AS answered_only_f1 FROM qa_rows"
     "question_clauses": f"""WITH parts AS (SELECT conv_id, turn, list_transform(string_split_regex(b, '(?i)\\s*(?:;|,\\s*and\\s+|\\s+and\\s+)\\s*'), lambda p: trim(p, ' ')) AS p FROM (SELECT conv_id, turn, trim(regexp_replace(trim(coalesce(text, ''), ' '), '[?.]+$', ''), ' ') AS b FROM conversations WHERE role = 'user') WHERE b <> ''),
 kept AS (SELECT conv_id, turn, list_filter(list_concat(p[1:1], list_filter(p[2:], lambda x: regexp_matches(x, {_quoted(_ASKS)}))), lambda x: x <> '') AS c FROM parts)
 SELECT conv_id, turn, CAST(generate_subscripts(c, 1) - 1 AS INT) AS place, unnest(c) AS clause FROM kept""",
-    "rendered_passages": """WITH r AS (SELECT doc_id, concat_ws(chr(10), concat_ws(' | ', doc_id::VARCHAR, CASE WHEN source <> '' THEN 'section: ' || source END, CASE WHEN doc_id % 3 = 0 THEN 'score: ' || printf('%.3f', n_chars / 8.0) END), coalesce(text, '')) AS t FROM documents),
-cut AS (SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(substr(t, 1, 394), '\\s+$', '') || ' [...]' END AS t FROM r) SELECT doc_id, CAST(length(t) AS INT) AS n_chars, sha256(t) AS sha256 FROM cut""",
+    "rendered_passages": """WITH r AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, CASE WHEN doc_id % 4 <> 1 THEN array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, 6), ' ') END AS title, CASE WHEN doc_id % 3 = 0 THEN n_chars / 8.0 END AS score FROM documents),
+s AS (SELECT doc_id, concat_ws(chr(10) || '    ', nullif(concat_ws(' | ', CASE WHEN source <> '' THEN 'paper: ' || source END, CASE WHEN lang <> '' THEN 'section: ' || lang END, CASE WHEN score IS NOT NULL THEN 'score: ' || printf('%.3f', score) END), ''),
+  CASE WHEN title <> '' THEN 'title: ' || title END, 'text: ' || CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(substr(t, 1, 394), '\\s+$', '') || ' [...]' END) AS t FROM r)
+SELECT doc_id, CAST(length(t) AS INT) AS n_chars, sha256(t) AS sha256 FROM s""",
     "paragraph_ranges": """WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: length(x)) AS n FROM documents)
 SELECT doc_id, CAST(len(n) AS INT) AS paragraphs, CAST(list_sum(n) + 2 * len(n) - 2 - n[-1] AS BIGINT) AS last_start, CAST(list_sum(n) + 2 * len(n) - 2 AS BIGINT) AS last_end FROM l WHERE len(n) > 0""",
     "normalisation_report": r"""SELECT count(*) AS documents, CAST(sum(length(t)) AS BIGINT) AS characters, count(*) FILTER (trim(t, ' ') = '') AS empty, count(*) FILTER (contains(t, chr(13))) AS carriage_returns, count(*) FILTER (t <> trim(t, ' ')) AS outer_space,

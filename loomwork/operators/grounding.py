@@ -67,13 +67,27 @@ def claim_support(answers: DataFrame, passages: DataFrame) -> DataFrame:
     return best.select("question_id", "claim", "sentence", F.transform(named, lambda x: x["passage_id"]).alias("passage_ids"), T.rounded(F.col("score")).alias("score"), _support(F.col("score")).alias("support"))
 
 
+QUOTE_WORD, QUOTE_WORDS, QUOTE_SHARE = r"[a-z0-9]+(?:[.,%'-][a-z0-9]+)*", 4, 0.8
+
+
 def quote_supported(quote: Column, text: Column) -> Column:
-    """Whether a quote of four words or more stands in a text, as a run or by four fifths of its word triples."""
-    q, w = T.tokens(quote), T.tokens(text)
-    triples = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.lit(3)), " "))
-    run = F.contains(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(q, " "), F.lit(" ")))
-    share = F.size(F.array_intersect(triples(q), triples(w))) / F.size(F.array_distinct(triples(q)))
-    return (F.size(q) >= 4) & (run | (share >= 0.8))
+    """Whether a quote of four words or more was copied from a text, small edits allowed.
+
+    An ellipsis parts a quote; each part stands in the text as a run of words, or, from three words on, four fifths of
+    its distinct word triples do.
+    """
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(QUOTE_WORD), F.lit(0))
+    triples = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.lit(3)), " ")))
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…"), words), lambda p: F.size(p) > 0)
+    have = words(text)
+
+    def stands(p: Column) -> Column:
+        share = F.size(F.array_intersect(triples(p), triples(have))) / F.size(triples(p))
+        return F.contains(spaced(have), spaced(p)) | ((F.size(p) >= 3) & (share >= QUOTE_SHARE))
+
+    enough = F.aggregate(parts, F.lit(0), lambda n, p: n + F.size(p)) >= QUOTE_WORDS
+    return F.coalesce(enough & F.forall(parts, stands), F.lit(False))
 
 
 def finalised(answers: DataFrame, faults: DataFrame) -> DataFrame:

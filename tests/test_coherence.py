@@ -71,3 +71,26 @@ def test_claims_name_their_best_passages(spark):
     passages = spark.createDataFrame([(1, "a", 3, "a parser reaches a high accuracy, they report"), (1, "b", 2, "parsers reaching accuracy, Zhang reports high reach"), (1, "c", 1, "parsers reach high accuracy report zhang"), (1, "d", 4, "brown foxes and dogs")], "question_id int, passage_id string, place int, text string")
     got = [(r.question_id, r.claim, r.passage_ids, r.support) for r in grounding.claim_support(answers, passages).orderBy("claim").collect()]
     assert got == [(1, 0, ["c", "b"], "direct"), (1, 2, ["d"], "partial"), (1, 3, [], "unsupported")]
+
+
+def test_quotes_with_ellipses_and_small_edits(spark):
+    from pyspark.sql import functions as F
+
+    text = "We train the model for 12.5 hours on two GPUs, and it reaches state-of-the-art accuracy of 91% there."
+    quotes = {
+        "train the model for 12.5 hours": True, "we train ... reaches state-of-the-art accuracy": True, "we train … of 92%": False, "We train the": False, "the model for 12.5 hours on three GPUs": False,
+        "we train the model for 12.5 hours on two GPUs and it reaches accuracy": True, "...": False, "accuracy of 91% ... ... we train": True,
+    }
+    rows = spark.createDataFrame([(q, text) for q in quotes] + [(None, text), ("we train the model", None)], "q string, t string")
+    got = {(r.q, r.t is None): r.ok for r in rows.select("q", "t", grounding.quote_supported(F.col("q"), F.col("t")).alias("ok")).collect()}
+    assert got == {(q, False): ok for q, ok in quotes.items()} | {(None, False): False, ("we train the model", True): False}
+
+
+def test_passages_are_shown_without_their_id(spark):
+    from pyspark.sql import functions as F
+
+    from loomwork.functions import claims
+
+    rows = spark.createDataFrame([("p", "Results", 0.5, "A title", "x" * 30), ("", None, None, "", "short")], "paper string, section string, score double, title string, text string")
+    shown = [r[0] for r in rows.select(claims.rendered(*(F.col(c) for c in rows.columns), 20)).collect()]
+    assert shown == ["paper: p | section: Results | score: 0.500\n    title: A title\n    text: " + "x" * 14 + " [...]", "text: short"]
