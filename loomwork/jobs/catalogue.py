@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.jobs import coherence, hybrid, loops, replies, runs, samples
+from loomwork.jobs import coherence, contexts, hybrid, loops, replies, runs, samples
 from loomwork.scratch import kept
 from loomwork.jobs.tables import anew as _anew
 from loomwork.jobs.tables import chunks as _chunks
@@ -236,8 +236,8 @@ _QUERY_FUNCTIONS = (
     arm_coverage, question_plan, evidence_verdicts, number_grounding, prompt_selection, grounded_answers,
     event_windows, event_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS, *replies.QUERY_FUNCTIONS, *coherence.QUERY_FUNCTIONS, *samples.QUERY_FUNCTIONS, *hybrid.QUERY_FUNCTIONS)} | runs.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _anew(f) for f in (*_QUERY_FUNCTIONS, *loops.QUERY_FUNCTIONS, *replies.QUERY_FUNCTIONS, *coherence.QUERY_FUNCTIONS, *samples.QUERY_FUNCTIONS, *hybrid.QUERY_FUNCTIONS, *contexts.QUERY_FUNCTIONS)} | runs.QUERIES
 
 from loomwork.jobs import oracle  # noqa: E402
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql() | replies.ORACLE_SQL | coherence.ORACLE_SQL | samples.oracle_sql() | hybrid.oracle_sql()
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | runs.ORACLE_SQL | loops.oracle_sql() | replies.ORACLE_SQL | coherence.ORACLE_SQL | samples.oracle_sql() | hybrid.oracle_sql() | contexts.ORACLE_SQL
