@@ -32,8 +32,8 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 def _rankings(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     chunks, questions = _chunks(spark, d), _questions(spark, d)
-    a = retrieval.ranked(retrieval.bm25_scores(chunks, questions), k).withColumn("method", F.lit("bm25"))
-    b = retrieval.ranked(retrieval.overlap_scores(chunks, questions), k).withColumn("method", F.lit("overlap"))
+    a = retrieval.ranked(retrieval.best_bm25(chunks, questions, k), k).withColumn("method", F.lit("bm25"))
+    b = retrieval.ranked(retrieval.best_overlap(chunks, questions, k), k).withColumn("method", F.lit("overlap"))
     return kept(spark)(a.unionByName(b).select("question_id", "method", "passage_id", "rank", "score"), "rankings")  # read several times
 
 
@@ -67,19 +67,18 @@ def term_statistics(spark, d):
 
 def bm25_corpus(spark, d):
     chunks, questions = _chunks(spark, d), _questions(spark, d)
-    return retrieval.top_k(retrieval.bm25_scores(chunks, questions), questions, chunks, 5)
+    return retrieval.top_k(retrieval.best_bm25(chunks, questions, 5), questions, chunks, 5)
 
 
 def bm25_paper(spark, d):
-    sources = table(spark, d, "documents").select("doc_id", "source")
-    chunks, questions = _chunks(spark, d).join(sources, "doc_id"), _questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    return retrieval.top_k(retrieval.bm25_scores(chunks, questions, F.col("source")), questions, chunks, 5, F.col("source"))
+    chunks, questions = _chunks(spark, d).where("doc_id is not null"), _questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    return retrieval.top_k(retrieval.best_bm25(chunks, questions, 5, F.col("source")), questions, chunks, 5, F.col("source"))
 
 
 def bm25_section(spark, d):
     chunks, questions = _chunks(spark, d), _questions(spark, d)
     wanted = questions.select("question_id").crossJoin(F.broadcast(table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("section")).distinct()))
-    return retrieval.in_sections(retrieval.bm25_scores(chunks, questions), chunks, wanted, 5)
+    return retrieval.in_sections(retrieval.best_bm25(chunks, questions, 5, by="section"), chunks, wanted, 5)
 
 
 def dense_corpus(spark, d):
@@ -97,8 +96,8 @@ def rrf_fusion(spark, d):
 
 
 def reranked(spark, d):
-    fused = retrieval.fuse(_rankings(spark, d), DEPTH)
-    return retrieval.rerank(fused, retrieval.overlap_scores(_chunks(spark, d), _questions(spark, d)), 5)
+    fused = kept(spark)(retrieval.fuse(_rankings(spark, d), DEPTH), "fused")
+    return retrieval.rerank(fused, retrieval.overlap_scores(retrieval.of_candidates(_chunks(spark, d), fused), _questions(spark, d)), 5)
 
 
 def gold_passages(spark, d):
@@ -179,7 +178,7 @@ def arm_coverage(spark, d):
 
 def _hits(spark, d, k: int = 5):
     chunks, questions = _chunks(spark, d), _questions(spark, d)
-    return retrieval.ranked(retrieval.bm25_scores(chunks, questions), k).join(chunks.select("passage_id", "section", "text"), "passage_id")
+    return retrieval.ranked(retrieval.best_bm25(chunks, questions, k), k).join(chunks.select("passage_id", "section", "text"), "passage_id")
 
 
 def question_plan(spark, d):

@@ -23,7 +23,7 @@ K, SHOWN = 5, 4
 def _passages(spark, d):
     """The retrieved passages; every 13th item has none."""
     chunks = _chunks(spark, d)
-    top = retrieval.ranked(retrieval.bm25_scores(chunks, _questions(spark, d)), K).where("question_id % 13 <> 5")
+    top = retrieval.ranked(retrieval.best_bm25(chunks, _questions(spark, d), K), K).where("question_id % 13 <> 5")
     return top.join(chunks.select("passage_id", "text"), "passage_id").select("question_id", "passage_id", F.col("rank").alias("place"), "text", (F.col("rank") <= SHOWN).alias("shown"))
 
 

@@ -20,7 +20,7 @@ CONFIG = {"version": contexts.VERSION, "max_passages": 3, "max_chars": 300, "sho
 
 def rebuilt_contexts(spark, d):
     keep, chunks = kept(spark), _chunks(spark, d)
-    top = retrieval.ranked(retrieval.bm25_scores(chunks, _questions(spark, d)), 5)
+    top = retrieval.ranked(retrieval.best_bm25(chunks, _questions(spark, d), 5), 5)
     held = top.join(chunks.select("passage_id", "doc_id", "section", "text"), "passage_id").join(table(spark, d, "documents").select("doc_id", F.col("source").alias("paper")), "doc_id")
     text = F.when((F.col("question_id") % 11 == 4) & (F.col("rank") == 2), " ").otherwise(F.col("text"))
     score = F.when(F.col("question_id") % 3 != 0, -F.round("score", 6))

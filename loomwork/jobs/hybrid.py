@@ -21,7 +21,7 @@ DEPTH, K, DIMS = 10, 5, 64
 def _two(spark, d, keep):
     """The stored rankings of BM25 and of dense search, DEPTH deep."""
     chunks, questions = _chunks(spark, d), _questions(spark, d)
-    sparse = retrieval.ranked(retrieval.bm25_scores(chunks, questions), DEPTH)
+    sparse = retrieval.ranked(retrieval.best_bm25(chunks, questions, DEPTH), DEPTH)
     vectors = keep(retrieval.encoded(chunks, "passage_id", "text"), "passage-vectors")
     found = retrieval.dense_top_k(vectors, keep(retrieval.encoded(questions, "question_id", "question"), "question-vectors"), DEPTH)
     dense = found.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("passage_id"), "rank", "score")
@@ -38,7 +38,7 @@ def four_systems(spark, d):
     two = _two(spark, d, keep)
     chunks, questions = _chunks(spark, d), _questions(spark, d)
     fused = keep(retrieval.fuse(two, DEPTH), "fused")
-    reranked = retrieval.rerank(fused, retrieval.overlap_scores(chunks, questions), K)
+    reranked = retrieval.rerank(fused, retrieval.overlap_scores(retrieval.of_candidates(chunks, fused), questions), K)
     named = lambda rows, method: rows.select("question_id", F.lit(method).alias("method"), "passage_id", "rank", F.lit(0.0).alias("score"))
     every = keep(two.unionByName(named(fused, "hybrid")).unionByName(named(reranked, "hybrid_reranked")), "systems")
     gold = keep(retrieval.gold_by_containment(chunks, table(spark, d, "benchmark")).select(F.col("item_id").alias("question_id"), "passage_id"), "gold")

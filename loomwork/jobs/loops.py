@@ -14,7 +14,6 @@ from loomwork.jobs import oracle
 from loomwork.scratch import kept
 from loomwork.jobs.tables import chunks as _chunks
 from loomwork.jobs.tables import questions as _questions
-from loomwork.jobs.tables import table
 from loomwork.operators import agent, retrieval
 
 K, PAPERS = 5, 24
@@ -27,7 +26,7 @@ def adaptive_loop(spark, d):
     weights = keep(retrieval.term_weights(chunks), "weights")
 
     def retrieve(queries: DataFrame) -> DataFrame:
-        top = retrieval.ranked(retrieval.bm25_scores(chunks, queries.withColumnRenamed("query", "question"), weights=weights), K)
+        top = retrieval.ranked(retrieval.best_bm25(chunks, queries.withColumnRenamed("query", "question"), K, weights=weights), K)
         return top.join(chunks.select("passage_id", "section", "text"), "passage_id").select("question_id", "passage_id", "rank", "text", "section")
 
     log = agent.run_loop(_questions(spark, d), retrieve, keep=keep)
@@ -37,7 +36,7 @@ def adaptive_loop(spark, d):
 def sectioned(spark, d):
     """Passages with their source, in sections."""
     name = F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), (F.pmod("doc_id", F.lit(len(SECTIONS))) + 1).cast("int"))
-    return _chunks(spark, d).drop("section").join(table(spark, d, "documents").select("doc_id", "source", name.alias("section")), "doc_id")
+    return _chunks(spark, d).where("doc_id is not null").withColumn("section", name)
 
 
 def cued(questions):
@@ -49,12 +48,12 @@ def cued(questions):
 def sectioned_loop(spark, d):
     """Retries go to the section that fits the gap; a question without any passage ends for lack of information."""
     keep = kept(spark)
-    chunks = keep(sectioned(spark, d), "sectioned")
+    chunks = sectioned(spark, d)
     questions = cued(_questions(spark, d, F.concat(F.lit("src"), (F.col("item_id") % PAPERS).cast("string"))))
-    weights = keep(retrieval.term_weights(chunks, F.col("source")), "weights")
+    weights = keep(retrieval.term_weights(chunks, F.col("source"), questions), "weights")
 
     def retrieve(queries: DataFrame) -> DataFrame:
-        scores = retrieval.bm25_scores(chunks, queries.withColumnRenamed("query", "question"), F.col("source"), weights)
+        scores = retrieval.best_bm25(chunks, queries.withColumnRenamed("query", "question"), K, F.col("source"), weights, by="section")
         return agent.scoped_hits(scores, chunks, queries, K)
 
     def judge(hits: DataFrame, needs: DataFrame) -> DataFrame:

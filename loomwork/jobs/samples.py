@@ -27,7 +27,7 @@ def exact_sample(spark, d):
 
 def plan_acceptance(spark, d):
     keep = kept(spark)
-    chunks = keep(loops.sectioned(spark, d), "units")
+    chunks = loops.sectioned(spark, d)
     gold = keep(retrieval.gold_by_containment(chunks, table(spark, d, "benchmark")).select(F.col("item_id").alias("question_id"), "passage_id"), "gold")
     own = gold.join(chunks.select("passage_id", "source", "doc_id", "chunk_number"), "passage_id").groupBy("question_id").agg(F.min_by("source", F.struct("doc_id", "chunk_number")).alias("scope"))
     questions = keep(loops.cued(_questions(spark, d)).drop("scope").join(own, "question_id", "left"), "questions")
@@ -37,8 +37,8 @@ def plan_acceptance(spark, d):
 
 def word_budgets(spark, d):
     chunks, questions, keep = _chunks(spark, d), _questions(spark, d), kept(spark)
-    top = retrieval.ranked(retrieval.bm25_scores(chunks, questions), DEPTH).withColumn("method", F.lit("bm25"))
-    more = retrieval.ranked(retrieval.overlap_scores(chunks, questions), DEPTH).withColumn("method", F.lit("overlap"))
+    top = retrieval.ranked(retrieval.best_bm25(chunks, questions, DEPTH), DEPTH).withColumn("method", F.lit("bm25"))
+    more = retrieval.ranked(retrieval.best_overlap(chunks, questions, DEPTH), DEPTH).withColumn("method", F.lit("overlap"))
     ranked = keep(top.unionByName(more).join(chunks.select("passage_id", "n_words"), "passage_id").select("question_id", "method", "passage_id", "rank", "n_words"), "ranked")
     evidence = table(spark, d, "benchmark")
     gold = retrieval.gold_by_containment(chunks, evidence).select(F.col("item_id").alias("question_id"), "passage_id")

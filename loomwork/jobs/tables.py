@@ -28,9 +28,9 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages with their tokens, written once a query: every later step reads the columns it needs."""
+    """Passages with their source and tokens, written once a query: every later step reads the columns it needs."""
     if d not in _stored:
-        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(dealt(table(spark, d, "documents")))), "passages")
+        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(dealt(table(spark, d, "documents")), more=("source",))), "passages")
     return _stored[d]
 
 

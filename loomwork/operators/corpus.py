@@ -22,22 +22,24 @@ def passage_id(paper_id: Column, section: Column, chunk: Column, context: dict |
     return F.concat(F.lit(scheme + "-"), F.sha2(F.concat(F.lit('{"coordinate":'), where, F.lit("," + tail)), 256))
 
 
-def passages(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def passages(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, more: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping word windows of each document (one section, its language), keeping the white space between words.
 
     A window starts every ``size - overlap`` words until one reaches the end. Documents without words have none.
+    ``more`` names columns of the documents that their passages carry.
     """
     step = size - overlap
-    kept = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("section"), T.spaced_words(T.normalised(F.coalesce("text", F.lit("")))).alias("w"))
+    kept = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("section"), T.spaced_words(T.normalised(F.coalesce("text", F.lit("")))).alias("w"), *more)
     kept = kept.withColumn("n", F.size("w")).where("n > 0")
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
-    cut = kept.select("doc_id", "section", "w", "n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_number"))
+    cut = kept.select("doc_id", "section", "w", "n", *more, F.explode(F.sequence(F.lit(0), last)).alias("chunk_number"))
     body = F.slice("w", F.col("chunk_number") * step + 1, F.lit(size))
     return cut.select(
         passage_id(F.col("doc_id"), F.lit(0), F.col("chunk_number")).alias("passage_id"),
         "doc_id", "section", "chunk_number",
         F.regexp_replace(F.array_join(body, ""), r"[\s\p{Z}]+\z", "").alias("text"),
         F.size(body).alias("n_words"),
+        *more,
     )
 
 
