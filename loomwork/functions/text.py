@@ -90,3 +90,9 @@ def has_cue(text: Column, cues: list[str] | tuple[str, ...]) -> Column:
 
 def rounded(x: Column) -> Column:
     return F.round(x, 6)
+
+
+def exact_mean(x: Column) -> Column:
+    """The mean to six places of figures of up to twelve, added up as decimals: halves are rounded as they are, not as binary sums turn out."""
+    exact = x.try_cast("decimal(38,12)")
+    return F.when(F.count(exact) == F.count(x), F.round(F.avg(exact), 6).cast("double")).otherwise(rounded(F.avg(x)))

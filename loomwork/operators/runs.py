@@ -67,14 +67,14 @@ def finite_means(figures: DataFrame, by: list[str], names: list[str]) -> DataFra
     def fine(n: str) -> Column:
         return F.when(~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), F.col(n))
 
-    return figures.groupBy(*by).agg(F.count("*").alias("questions"), *(T.rounded(F.avg(fine(n))).alias(n) for n in names), *(F.count(fine(n)).alias(n + "_n") for n in names))
+    return figures.groupBy(*by).agg(F.count("*").alias("questions"), *(T.exact_mean(fine(n)).alias(n) for n in names), *(F.count(fine(n)).alias(n + "_n") for n in names))
 
 
 def paired_contributions(figures: DataFrame, before: str, after: str, names: list[str]) -> DataFrame:
     """Mean difference of each figure and k between two methods, over the questions where both have it."""
     tall = figures.select("question_id", "method", "k", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))).alias("f")).select("question_id", "method", "k", "f.*")
     both = tall.where("value is not null").groupBy("question_id", "k", "metric").agg(F.max(F.when(F.col("method") == before, F.col("value"))).alias("old"), F.max(F.when(F.col("method") == after, F.col("value"))).alias("new"))
-    return both.where("old is not null and new is not null").groupBy("k", "metric").agg(T.rounded(F.avg(F.col("new") - F.col("old"))).alias("mean_delta"), F.count("*").alias("paired_questions"))
+    return both.where("old is not null and new is not null").groupBy("k", "metric").agg(T.exact_mean(F.col("new") - F.col("old")).alias("mean_delta"), F.count("*").alias("paired_questions"))
 
 
 def evidence_recall(questions: DataFrame, retrieved: DataFrame, gold: DataFrame, mapping: DataFrame, runs: DataFrame) -> DataFrame:

@@ -91,3 +91,17 @@ def test_numbers_follow_the_key(spark):
     got = [(r.key, r.n) for r in numbering.numbered(rows, "key", "n", 7).orderBy("key").collect()]
     assert got == [(k, i) for i, k in enumerate(sorted((i * 37) % 1009 for i in range(1000)))]
     assert numbering.numbered(rows.limit(0), "key", "n").count() == 0
+
+
+def test_means_of_decimals_round_exact_halves_up(spark):
+    """The mean 0.3000005 of (0.1, 0.500001) is a half in decimals; its binary sum may lie below."""
+    import itertools
+
+    pairs = [(x / 10**6, y / 10**6) for x, y in itertools.product(range(100_000, 100_040), range(500_001, 500_041, 2)) if (x + y) % 2]
+    rows = [(n, m, k, v) for k, pair in enumerate(pairs) for n, new in enumerate(pair) for m, v in (("a", 0.0), ("b", new))]
+    figures = spark.createDataFrame(rows, "question_id int, method string, k int, f double")
+    want = {k: ((round(x * 10**6) + round(y * 10**6) + 1) // 2) / 10**6 for k, (x, y) in enumerate(pairs)}
+    assert {r.k: r.mean_delta for r in runs.paired_contributions(figures, "a", "b", ["f"]).collect()} == want
+    assert {r.k: r.f for r in runs.finite_means(figures.where("method = 'b'"), ["k"], ["f"]).collect()} == want
+    odd = spark.createDataFrame([(1, "a", 1, 0.0), (1, "b", 1, float("inf"))], "question_id int, method string, k int, f double")
+    assert runs.paired_contributions(odd, "a", "b", ["f"]).first().mean_delta == float("inf")
