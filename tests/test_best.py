@@ -52,3 +52,24 @@ def test_what_a_task_holds_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(best, "MOST_HELD", 3)
     chunks, questions = corpus(spark)
     assert rows(retrieval.ranked(retrieval.best_bm25(chunks, questions, 5), 5)) == rows(retrieval.ranked(retrieval.bm25_scores(chunks, questions), 5))
+
+
+def test_dense_search_holds_few_scores_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    asked, vectors = retrieval._unit(rng.normal(size=(2048, 8))), rng.normal(size=(5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(list(vectors)), pa.array(np.zeros(5000, np.int32))], names=["vec_id", "embedding", "label"])
+    run = retrieval._dense_search(np.arange(2048), np.zeros(2048, np.int32), asked, 3, True, pa.int64())
+    tracemalloc.start()
+    (out,) = run(iter([batch.slice(0, 2500), batch.slice(2500)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20, "all scores of one batch would be 41 MB"
+    score = np.round(asked @ retrieval._unit(vectors).T, 6)
+    want = {q: np.lexsort((np.arange(5000), -score[q]))[:3].tolist() for q in range(0, 2048, 97)}
+    got = out.to_pylist()
+    assert {q: [r["vec_id"] for r in got if r["query_id"] == q] for q in want} == want and len(got) == 3 * 2048
