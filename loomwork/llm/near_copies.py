@@ -1,14 +1,15 @@
 """Near copies: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Simhash fingerprints of such a pair differ in about ten of 64 bits at 0.8, and a pigeonring chain that
-loses few of them (15 bits) probes thousands of keys a fingerprint; so candidates are found by MinHash
-bands instead, in linear work: ``BANDS`` keys of ``ROWS`` minima each lose a pair of similarity 0.8 with
-probability ``(1 - 0.8**ROWS) ** BANDS``, under one in two thousand. Candidates are verified on the whole
-shingle sets, in two steps: nodes against the leader of each band key; then nodes that still share a key with
-another group, among which an exact set-similarity join finds all links between groups.
+Candidates come from SimHash fingerprints of the shingle sets first: the pigeonring chain of ``simhash_dedup`` finds all
+pairs that differ in at most three bits. At 0.8 fingerprints differ in about ten of 64 bits, and a chain that loses few
+of those (15 bits) probes thousands of keys a fingerprint. So pairs beyond three bits are found by MinHash bands:
+``BANDS`` keys of ``ROWS`` minima each lose a pair of similarity 0.8 with probability ``(1 - 0.8**ROWS) ** BANDS``, under
+one in two thousand. All candidates are verified on the whole shingle sets, in two steps: nodes against one leader (the
+smallest fingerprint that is close, the smallest node of a band key); then what is left between groups, which is every
+close pair of fingerprints and, for nodes that share a band key with another group, an exact set-similarity join.
 
 Texts with equal sets are one node, named by a hash of the set, so copies never pair, and neither
-repeated nor missing document ids matter. Only sets of nodes that share a key leave the scan.
+repeated nor missing document ids matter. Only sets of nodes that have a candidate leave the scan.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
-from loomwork.llm.scratch import apart, stored
-from loomwork.llm.simhash_dedup import _FOLD
+from loomwork.llm.scratch import apart, forget, stored
+from loomwork.llm.simhash_dedup import _FOLD, close_pairs, majority_bits
 from loomwork.llm.textnp import Words, buffer_of, mix, slices
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -34,7 +35,9 @@ WIDTH = 1.04
 WORDS = 8
 """64-bit words of a set's parities."""
 MASK = 1 << 22
-"""Bits of the filter that keeps texts of no candidate from leaving the second scan."""
+"""Bits of the filter that keeps texts of no candidate from leaving the second scan, and sets of no pair from being shuffled."""
+BUCKETS, PORTION = 1 << 23, 1 << 18
+"""Buckets that shingles are counted in, a byte each; shingles that a task handles at a time."""
 
 _KEY = ["_none", "_id", "_text"]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +96,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             hashed, offs = shingle_sets(part.column("text"))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(_bands(hashed, offs).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(_nodes(hashed, offs)), pa.array(np.diff(offs).astype(np.int64)), bands], names=["doc_id", "text_hash", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(_nodes(hashed, offs)), pa.array(np.diff(offs).astype(np.int64)), pa.array(majority_bits(hashed, offs).view(np.int64)), bands], names=["doc_id", "text_hash", "node", "n", "fp", "bands"])
 
 
 def _sets(mask: np.ndarray):
@@ -123,11 +126,48 @@ def _similar(common: Column, u: Column, v: Column) -> Column:
     return common * SHARE[1] >= (u + v - common) * SHARE[0]
 
 
+def _mask(nodes: DataFrame, name: str = "node") -> np.ndarray:
+    """A filter of ``MASK`` bits that lets all these nodes through, and few others."""
+    mask = np.zeros(MASK, bool)
+    mask[nodes.select(F.col(name).bitwiseAND(F.lit(MASK - 1)).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
+    return mask
+
+
+def _masked(mask: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(mask[batch.column("node").to_numpy() & (MASK - 1)]))
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets are similar."""
-    one, other = (sets.select(F.col("node").alias(a), F.col("hashes").alias("h" + a)) for a in "uv")
+    """The pairs (u, v) whose whole shingle sets are similar; only sets of nodes in pairs are shuffled."""
+    one, other = (sets.select("node", "hashes").mapInArrow(_masked(_mask(pairs, a)), "node long, hashes array<long>").toDF(a, "h" + a) for a in "uv")
     common = F.size(F.array_intersect("hu", "hv"))
-    return pairs.join(one, "u").join(other, "v").where(_similar(common, F.size("hu"), F.size("hv"))).select("u", "v")
+    return pairs.select("u", "v").join(one, "u").join(other, "v").where(_similar(common, F.size("hu"), F.size("hv"))).select("u", "v")
+
+
+def _chain_led(prints: DataFrame, chain: DataFrame) -> DataFrame:
+    """Pairs of nodes with a leader: the smallest node of their own fingerprint, and that of the smallest fingerprint close to theirs."""
+    least = prints.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("least"))
+    own = prints.join(least, "fp").where(F.col("node") > F.col("least.node")).select(F.col("least").alias("a"), F.struct("node", "n").alias("b"))
+    ends = chain.groupBy("v").agg(F.min("u").alias("u"))
+    for a, fp in (("a", "u"), ("b", "v")):
+        ends = ends.join(least.select(F.col("fp").alias(fp), F.col("least").alias(a)), fp)
+    both = own.union(ends.select("a", "b"))
+    return both.where(_similar(F.least("a.n", "b.n"), F.col("a.n"), F.col("b.n"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def _chain_across(prints: DataFrame, chain: DataFrame) -> DataFrame:
+    """(u, v, ru, rv): nodes of different roots, and of sizes that may be similar, whose fingerprints are close. ``prints`` has node, n, fp and root."""
+    same = prints.groupBy("fp").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    both = chain.union(same)
+    for a in "uv":
+        both = both.join(prints.select(F.col("fp").alias(a), F.struct("node", "n", "root").alias("of_" + a)), a)
+    u, v = ({c: F.col(f"of_{a}.{c}") for c in ("node", "n", "root")} for a in "uv")
+    fits = (u["root"] != v["root"]) & ((F.col("u") != F.col("v")) | (u["node"] < v["node"])) & _similar(F.least(u["n"], v["n"]), u["n"], v["n"])
+    return both.where(fits).select(u["node"].alias("u"), v["node"].alias("v"), u["root"].alias("ru"), v["root"].alias("rv"))
 
 
 def _led(keys: DataFrame) -> DataFrame:
@@ -151,18 +191,66 @@ def _smallest_of(size_class: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.pow(F.lit(WIDTH), size_class) - F.lit(1e-3))).cast("long")
 
 
+def _portions(batches: Iterator[pa.RecordBatch], mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes that pass the mask, sizes and hashes of their sets, at most ``PORTION`` hashes (or one set) at a time."""
+    for batch in batches:
+        batch = batch.filter(pa.array(mask[batch.column("node").to_numpy() & (MASK - 1)]))
+        node, lists = batch.column("node").to_numpy(), batch.column("hashes")
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        portion = (np.cumsum(n) - 1) // PORTION if len(n) else n
+        for a, z in zip(np.searchsorted(portion, np.unique(portion)), np.searchsorted(portion, np.unique(portion), "right")):
+            yield node[a:z], n[a:z], lists.slice(a, z - a).flatten().to_numpy()
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
+
+
+def _tallied(mask: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
+        for _, _, hashes in _portions(batches, mask):
+            bucket, times = np.unique(_bucket(hashes), return_counts=True)
+            total[bucket] += times.astype(np.int32)
+        held = np.flatnonzero(total)
+        for a in range(0, len(held), PORTION):
+            some = held[a : a + PORTION]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "sets"])
+
+    return run
+
+
+def _first(mask: np.ndarray, tally: np.ndarray):
+    """(node, n, at, token): the first shingles of each set by the tally of their bucket, then by hash. Those that are alone in their bucket are only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, n, hashes in _portions(batches, mask):
+            row, sets = np.repeat(np.arange(len(n)), n), tally[_bucket(hashes)]
+            order = np.lexsort((hashes, sets, row))
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            longest = n - -(-n * SHARE[0] // SHARE[1]) + 1
+            take = np.flatnonzero((at < longest[row]) & (sets[order] > 1))
+            of = row[take]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[of], n[of], at[take], hashes[order][take])], names=["node", "n", "at", "token"])
+
+    return run
+
+
 def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root, n, at, token): the first shingles of each node's set, ordered by how many of the nodes have them, the rarest first.
+    """(node, root, n, at, token): the first shingles of each node's set, in one order for all sets, the rarest about first.
 
-    Shingles of one node alone meet nothing; they are only counted, as they come first.
+    Any common order will do; this one goes by how many of the nodes' shingles fall in a shingle's bucket, up to 255. Buckets are
+    counted before the shuffle, and prefixes made where the sets lie. Shingles of one root alone meet nothing and are dropped.
     """
-    tokens = stored(sets.join(nodes, "node").select("node", "root", "n", F.explode("hashes").alias("token")), "tokens")
-    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    ordered = Window.partitionBy("node").orderBy("df", "token")
-    held = tokens.join(shared, "token").select("node", "root", "n", "token", F.row_number().over(ordered).alias("place"), F.count("*").over(Window.partitionBy("node")).alias("held"))
-    at = F.col("n") - F.col("held") + F.col("place") - 1
-    longest = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1] - F.lit(1e-9)) + 1
-    return held.withColumn("at", at).where(F.col("at") < longest).select("node", "root", "n", "at", "token")
+    mask = _mask(nodes)
+    counted = sets.select("node", "hashes").mapInArrow(_tallied(mask), "bucket int, sets int").groupBy("bucket").agg(F.sum("sets").alias("sets"))
+    many = counted.where("sets > 1").select("bucket", F.least("sets", F.lit(255)).cast("short").alias("sets")).toArrow()
+    tally = np.ones(BUCKETS, np.uint8)
+    tally[many.column("bucket").to_numpy()] = many.column("sets").to_numpy().astype(np.uint8)
+    made = sets.select("node", "hashes").mapInArrow(_first(mask, tally), "node long, n long, at long, token long")
+    rows = stored(made.join(nodes.select("node", "root"), "node").select("node", "root", F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at"), "token"), "first")
+    met = rows.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
+    return rows.join(met, "token")
 
 
 def _across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,27 +280,35 @@ def _across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """(node, root) of the nodes linked to another. ``prints`` has node, n and bands, a row a node.
+    """(node, root) of the nodes linked to another. ``prints`` has node, n, fp and bands, a row a node.
 
-    Nodes are compared with the leader of each of their band keys first; then nodes that share a key with
-    another group are joined by their shingle sets, across groups only, since a link inside a group joins nothing.
+    Nodes are compared with the leaders of their fingerprint and of each of their band keys first; then close fingerprints of
+    different groups are, and nodes that share a key with another group are joined by their shingle sets, across groups
+    only, since a link inside a group joins nothing.
     """
-    keys = prints.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
+    prints = stored(prints.where("n > 0"), "prints")
+    chain = stored(close_pairs(prints.select("fp").distinct()), "chain")
+    keys = prints.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
     keys = stored(keys.join(shared, "key"), "keys")
-    needed = keys.select("node").distinct()
-    mask = np.zeros(MASK, bool)
-    at = needed.select(F.col("node").bitwiseAND(F.lit(MASK - 1)).alias("at")).distinct().toArrow()
-    mask[at.column("at").to_numpy()] = True
-    sets = texts.mapInArrow(_sets(mask), "node long, hashes array<long>, odd array<long>").join(needed, "node", "left_semi")
+    prints = prints.select("node", "n", "fp")
+    close = chain.select(F.explode(F.array("u", "v")).alias("fp")).union(prints.groupBy("fp").agg(F.count("*").alias("nodes")).where("nodes > 1").select("fp")).distinct()
+    near = stored(prints.join(close, "fp"), "near")
+    needed = keys.select("node").union(near.select("node")).distinct()
+    sets = texts.mapInArrow(_sets(_mask(needed)), "node long, hashes array<long>, odd array<long>").join(needed, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("odd").alias("odd")), "shingles")
-    first = stored(components(_verified(_led(keys), sets)), "groups")
+    led = stored(_chain_led(near, chain).union(_led(keys)).distinct(), "led")
+    first = stored(components(_verified(led, sets)), "groups")
     rooted = keys.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
     nodes = stored(rooted.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "nodes")
-    across = stored(_across(nodes, sets), "across")
+    forget(keys)
+    beyond = _chain_across(near.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), chain)
+    across = stored(_across(nodes, sets).union(beyond).distinct(), "across")
     ends = _verified(across.select("u", "v"), sets).join(across, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     second = stored(components(ends.distinct()), "groups").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    for table in (sets, near, across):
+        forget(table)
     # every root of ``first`` is a node of it, but a node alone until now may be an end of ``second`` only
     joined = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = second.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
@@ -228,8 +324,8 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ident, text_hash = F.col("doc_id").cast("long"), F.xxhash64(text)
     rows = documents.select(ident.alias("doc_id"), text_hash.alias("text_hash"), text.alias("text"))
-    scanned = stored(rows.mapInArrow(_scan, "doc_id long, text_hash long, node long, n long, bands array<long>"), "bands")
-    prints = scanned.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    scanned = stored(rows.mapInArrow(_scan, "doc_id long, text_hash long, node long, n long, fp long, bands array<long>"), "bands")
+    prints = scanned.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     roots = groups(rows.select("text"), prints)
     key = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text"))
     named = scanned.select(key.alias("row"), "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

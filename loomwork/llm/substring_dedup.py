@@ -29,6 +29,8 @@ WINDOW = 13
 PART_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 """Text behind one part of the hash space and behind one bucket of documents: what one group of a task holds, whatever the input's size."""
 BUCKET = "__bucket"
+PIECE = 1 << 20
+"""Bytes of text that a task of the first step turns into words at a time."""
 _PACK = "part int, ids binary, buckets binary, counts binary, keys binary, flags binary"
 _BACK = f"{BUCKET} int, ids binary, counts binary, keys binary, flags binary"
 
@@ -99,18 +101,22 @@ class _Steps:
         self.window, self.block, self.n_parts = window, (window + 1) // 2, n_parts
 
     def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every rolling block window of every text, those on the grid flagged."""
+        """Every rolling block window of every text, those on the grid flagged. Words are made a ``PIECE`` at a time, rows are packed a larger slice."""
         for batch in batches:
             for rows in slices(batch, "text", 4 << 20):
-                words = Words(*buffer_of(rows.column("text")))
-                ids, valid = _id_array(rows.column("doc_id"))
-                at = np.flatnonzero(words.whole(self.block) & (words.counts >= self.window)[words.row] & valid[words.row])
-                if not len(at):
-                    continue
-                gram = words.grams(words.hashes(), self.block)[at]
-                row = words.row[at]
-                buckets = rows.column(BUCKET).to_numpy(zero_copy_only=False)
-                yield _pack(((gram >> np.uint64(32)) % np.uint64(self.n_parts)).astype(np.int32), ids[row], buckets[row], gram.astype(np.uint32), (words.place()[at] % self.block == 0).astype(np.uint8))
+                found = [x for x in (self._anchors(piece) for piece in slices(rows, "text", PIECE)) if len(x[0])]
+                if found:
+                    gram, ids, buckets, grid = (np.concatenate(x) for x in zip(*found))
+                    yield _pack(((gram >> np.uint64(32)) % np.uint64(self.n_parts)).astype(np.int32), ids, buckets, gram.astype(np.uint32), grid)
+
+    def _anchors(self, rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Hashes of the rolling block windows, their documents and buckets, and whether they are on the grid."""
+        words = Words(*buffer_of(rows.column("text")))
+        ids, valid = _id_array(rows.column("doc_id"))
+        at = np.flatnonzero(words.whole(self.block) & (words.counts >= self.window)[words.row] & valid[words.row])
+        row = words.row[at]
+        buckets = rows.column(BUCKET).to_numpy(zero_copy_only=False)
+        return words.grams(words.hashes(), self.block)[at], ids[row], buckets[row], (words.place()[at] % self.block == 0).astype(np.uint8)
 
     @staticmethod
     def _unpacked(table: pa.Table, kind) -> tuple[np.ndarray, ...]:

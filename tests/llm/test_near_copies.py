@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwork.llm import near_copies as N
@@ -118,3 +119,25 @@ def test_links_between_groups_are_exactly_the_similar_pairs(spark):
         owner += range(3 * k, 3 * k + 3)
     edge, owner = zip(*{frozenset(e): (e, o) for e, o in zip(edge, owner)}.values())
     assert links(spark, edge, owner)[1] == plain_links(edge, owner)
+
+
+def test_close_fingerprints_of_other_groups_meet_and_each_has_one_leader(spark):
+    prints = spark.createDataFrame([(1, 100, 0b0, 1), (2, 100, 0b111, 2), (3, 100, 0b111, 3), (4, 100, 0b1111000, 4), (5, 10, 0b1, 5), (6, 100, 1 << 40, 1)], "node long, n long, fp long, root long")
+    chain = N.close_pairs(prints.select("fp").distinct())
+    close = {(a, b) for a, b in ((x, y) for x in (1, 2, 3, 4, 6) for y in (1, 2, 3, 4, 6) if x < y)} - {(1, 4), (2, 4), (3, 4), (4, 6), (2, 6), (3, 6)}
+    assert {tuple(sorted((r.u, r.v))) for r in N._chain_across(prints, chain).collect()} == close - {(1, 6)}
+    led = {tuple(sorted((r.u, r.v))) for r in N._chain_led(prints.drop("root"), chain).collect()}
+    assert led <= close and len(led) == 3 and (2, 3) in led
+
+
+def test_groups_link_by_fingerprints_alone(spark, documents):
+    """Nodes without any common band key are linked if their fingerprints are close and their sets similar."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))]
+    rows = documents(texts).select("doc_id", F.col("text").alias("text"), F.lit(0).cast("long").alias("text_hash"))
+    scanned = rows.mapInArrow(N._scan, "doc_id long, text_hash long, node long, n long, fp long, bands array<long>")
+    apart = scanned.select("node", "n", "fp", F.array(F.col("node")).alias("bands"))
+    found = {r.node: r.root for r in N.groups(rows.select("text"), apart).collect()}
+    nodes = {r.doc_id: r for r in scanned.collect()}
+    assert bin((nodes[0].fp ^ nodes[1].fp) & (2**64 - 1)).count("1") <= 3
+    assert found == {nodes[k].node: min(nodes[0].node, nodes[1].node) for k in (0, 1)}
