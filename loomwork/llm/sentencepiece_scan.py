@@ -23,8 +23,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ GIANT, CHUNK = 65_536, 16_384
 BLOCK = 64
 """Chunks whose matrices are multiplied together."""
 MEMO_WORDS = 300_000
+FEW = 16
+"""Stretches below which each goes to the library by itself."""
+SENT = 512
+"""Chunks of a batch."""
 MARK, OWN_MARK = "▁", "\ud800"
 """The space mark; and what stands for that character in a text itself (no text can hold a lone surrogate)."""
 NEVER = -(1 << 60)
@@ -115,7 +119,9 @@ class Merges:
         out = {w: self.own if w == OWN_MARK else self.lone for w in words if w in (OWN_MARK, MARK)}
         some = [w for w in words if w not in out]
         given = [(w[1:] if w[0] == MARK else self.lead + w).replace(MARK, " ") for w in some]
-        for w, ids in zip(some, self.model.encode(given, num_threads=1) if given else []):
+        # a list costs the library a pool of threads a call
+        made = [self.model.encode(w) for w in given] if len(given) < FEW else self.model.encode(given, num_threads=1)
+        for w, ids in zip(some, made):
             out[w] = array("I", ids if w[0] == MARK else ids[self.led :]).tobytes()
         return out
 
@@ -169,21 +175,21 @@ class Merges:
 
     def states(self, x: str, at: int, last: bool) -> list[tuple[int, str]]:
         """What a chain may look like at a boundary: (place, piece that ends there), back to a forced cut, which is one state."""
-        out: list[tuple[int, str]] = []
-        for p in range(at, max(-1, at - self.reach), -1):
-            if self.is_cut(x, p) or last and p == len(x):
-                return [*out, (p, "")]
-            out += [(p, x[p - n : p]) for n in range(1, min(self.reach, p) + 1) if n == 1 or x[p - n : p] in self.units]
-        return out
-
-    def reached(self, x: str, seeds: dict[tuple[int, str], int], start: int, to: int) -> list[dict[str, int]]:
-        """For each place up to ``to``, the pieces that end there on a chain from a seed, with the set of its seeds as bits."""
-        at: list[dict[str, int]] = [{} for _ in range(to + 1)]
+        units, cut, low = self.units, self.cut.match, max(-1, at - self.reach)
+        end = next((p for p in range(at, low, -1) if not p or cut(x, p) or last and p == len(x)), None)
+        # no piece spans a forced cut
+        out = [(p, x[i:p]) for p in range(at, low if end is None else end, -1) for i in range(p - 1, max(end or 0, p - self.reach) - 1, -1) if i == p - 1 or x[i:p] in units]
+        return out if end is None else [*out, (end, "")]
+
+    def reached(self, x: str, seeds: dict[tuple[int, str], int], start: int, to: int) -> dict[int, dict[str, int]]:
+        """For each place from the first seed up to ``to``, the pieces that end there on a chain from a seed, with the set of its seeds as bits."""
+        low = min(p for p, _ in seeds)
+        at: dict[int, dict[str, int]] = {p: {} for p in range(low, to + 1)}
         for (p, piece), bit in seeds.items():
             at[p][piece] = bit
         for j in range(start + 1, to + 1):
             here = at[j]
-            for i in range(max(0, j - self.reach), j):
+            for i in range(max(low, j - self.reach), j):
                 before = at[i]
                 if before and (i == j - 1 or x[i:j] in self.units):
                     t = x[i:j]
@@ -202,8 +208,7 @@ class Merges:
             return (end, end) if last else None
         if last:
             return first, end
-        found = [m.start() for m in self.cut.finditer(x, max(first, end - 256))] or [m.start() for m in self.cut.finditer(x, first)]
-        return first, max([c for c in found if c <= end], default=first)
+        return first, next((c for c in range(end, first, -1) if self.cut.match(x, c)), first)
 
     def matrix(self, x: str, at: int, last: bool) -> np.ndarray:
         """Of a chunk x[at:], with one character more unless it is the text's last: [entry, exit] is 0 where a chain leads from the entry state to the exit state else NEVER (a max-plus matrix)."""
@@ -214,7 +219,7 @@ class Merges:
         seeds = {s: 1 << k for k, s in enumerate(entry)}
         if cuts is None:
             got = self.reached(x, seeds, at, end)
-            bits = [got[p].get(piece, 0) for p, piece in out]
+            bits = [got.get(p, {}).get(piece, 0) for p, piece in out]
         else:
             head = self.reached(x, seeds, at, cuts[0])[cuts[0]]
             alive = 0
@@ -223,12 +228,12 @@ class Merges:
             tail = self.reached(x, {(cuts[1], ""): 1}, cuts[1], end)
             bits = [alive if (p == cuts[1] and not piece) or (p >= cuts[1] and tail[p].get(piece)) else 0 for p, piece in out]
         for f, b in enumerate(bits):
-            for e in range(len(entry)):
-                if b >> e & 1:
-                    m[e, f] = 0
+            while b:
+                m[(b & -b).bit_length() - 1, f] = 0
+                b &= b - 1
         return m
 
-    def back(self, x: str, at: list[dict[str, int]], end: int, piece: str, start: int) -> list[str]:
+    def back(self, x: str, at: dict[int, dict[str, int]], end: int, piece: str, start: int) -> list[str]:
         """The pieces of the chain that ends with ``piece`` at ``end``, back to what ends at ``start`` or before."""
         out = []
         while end > start and piece:
@@ -239,18 +244,22 @@ class Merges:
         return out[::-1]
 
     def part(self, x: str, at: int, last: bool, entry: int, leave: int) -> bytes:
-        """Ids of the pieces after the entry state up to the exit state, traced back within the chunk."""
+        before, between, after = self.parted(x, at, last, entry, leave)
+        return before + self.encode_marked([between])[0] + after
+
+    def parted(self, x: str, at: int, last: bool, entry: int, leave: int) -> tuple[bytes, str, bytes]:
+        """Ids of the pieces after the entry state up to the exit state, traced back within the chunk; what lies between forced cuts is returned as text."""
         p, piece = self.states(x, at, False)[entry]
         end = len(x) - (not last)
         q, final = self.states(x, end, last)[leave]
         cuts = self.around(x, at, end, last)
         if cuts is None:
             got = self.reached(x, {(p, piece): 1}, at, end)
-            return b"".join(map(self.ids_of, self.back(x, got, q, final, p)))
+            return b"".join(map(self.ids_of, self.back(x, got, q, final, p))), "", b""
         head = self.reached(x, {(p, piece): 1}, at, cuts[0])
         first = self.back(x, head, cuts[0], next(iter(head[cuts[0]])), p) if cuts[0] > p else []
         tail = self.back(x, self.reached(x, {(cuts[1], ""): 1}, cuts[1], end), q, final, cuts[1])
-        return b"".join(map(self.ids_of, first)) + self.encode_marked([x[cuts[0] : cuts[1]]])[0] + b"".join(map(self.ids_of, tail))
+        return b"".join(map(self.ids_of, first)), x[cuts[0] : cuts[1]], b"".join(map(self.ids_of, tail))
 
 
 class Lattice:
@@ -542,16 +551,42 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _whole(path: str, rows: list[dict]) -> pa.RecordBatch:
+    """The results of a text from the ids of its chunks, in order."""
+    ids = b"".join(r["ids"] for r in rows)
+    raw = lattice(path).decode(ids)
+    return _results([_row(rows[0]["digest"], ids, len(raw), hashlib.sha256(raw).hexdigest() == rows[0]["digest"])], "digest", pa.string())
+
+
 def _gather(path: str):
     def gather(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        ids = b"".join(r["ids"] for r in rows)
-        raw = lattice(path).decode(ids)
-        return pa.Table.from_batches([_results([_row(rows[0]["digest"], ids, len(raw), hashlib.sha256(raw).hexdigest() == rows[0]["digest"])], "digest", pa.string())])
+        return pa.Table.from_batches([_whole(path, sorted(table.to_pylist(), key=lambda r: r["k"]))])
 
     return gather
 
 
+def _grouped(rows: DataFrame, n: int, keys: list[str], order: str, step: Callable[[list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``step`` of the rows of each group, in order. As ``applyInArrow``, without its cost a group: most groups are a few small rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, out = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if held and key != group:
+                    out.append(step(held))
+                    held = []
+                group = key
+                held.append(r)
+            if out:
+                yield pa.concat_batches(out)
+                out = []
+        if held:
+            yield step(held)
+
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def threaded(matrices: list[np.ndarray], first: np.ndarray, leave: int) -> list[tuple[int, int]]:
     """Entry and exit state of each of a row of chunks: entry scores forward, then the one way that leads to ``leave`` back."""
     scores, out = [first], []
@@ -580,53 +615,60 @@ def _merged_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     state, those give each chunk its own, and every chunk is traced back by itself.
     """
     n = parts(texts.sparkSession)
+    sent = max(1, min(SENT, (1 << 20) // chunk))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = merges(path).reach
         for batch in batches:
             for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
                 x = marked(text)
-                for k, a in enumerate(range(0, len(x), chunk)):
-                    low = max(0, a - 2 * reach)
-                    body = x[low : a + chunk + 1].encode("utf-8", "surrogatepass")
-                    yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([k], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([a - low], pa.int32()), pa.array([a + chunk >= len(x)]), pa.array([body], pa.binary())], names=["digest", "k", "block", "at", "last", "body"])
+                n_chunks = -(-len(x) // chunk)
+                for b in range(0, n_chunks, sent):
+                    k = range(b, min(b + sent, n_chunks))
+                    low = [max(0, i * chunk - 2 * reach) for i in k]
+                    body = [x[a : (i + 1) * chunk + 1].encode("utf-8", "surrogatepass") for i, a in zip(k, low)]
+                    at = [i * chunk - a for i, a in zip(k, low)]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(k)), pa.array(k, pa.int32()), pa.array([i // BLOCK for i in k], pa.int32()), pa.array(at, pa.int32()), pa.array([(i + 1) * chunk >= len(x) for i in k]), pa.array(body, pa.binary())], names=["digest", "k", "block", "at", "last", "body"])
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [merges(path).matrix(b.decode("utf-8", "surrogatepass"), at, last) for b, at, last in zip(batch.column("body").to_pylist(), batch.column("at").to_pylist(), batch.column("last").to_pylist())]
             yield _matrices([*batch.select(["digest", "k", "block"]).columns], made, ["digest", "k", "block"])
 
-    def product(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    def product(rows: list[dict]) -> pa.RecordBatch:
         whole = _matrix(rows[0])
         for r in rows[1:]:
             whole = combined(whole, _matrix(r))
-        return pa.Table.from_batches([_matrices([pa.array([rows[0]["digest"]]), pa.array([rows[0]["block"]], pa.int32())], [whole], ["digest", "block"])])
+        return _matrices([pa.array([rows[0]["digest"]]), pa.array([rows[0]["block"]], pa.int32())], [whole], ["digest", "block"])
 
-    def blocks(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    def blocks(rows: list[dict]) -> pa.RecordBatch:
         matrices = [_matrix(r) for r in rows]
         ways = threaded(matrices, _only(len(matrices[0]), 0), 0)
-        return pa.table([pa.array([r["digest"] for r in rows]), pa.array([r["block"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "block", "entry", "leave"])
+        return pa.RecordBatch.from_arrays([pa.array([r["digest"] for r in rows]), pa.array([r["block"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "block", "entry", "leave"])
 
-    def within(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    def within(rows: list[dict]) -> pa.RecordBatch:
         matrices = [_matrix(r) for r in rows]
         ways = threaded(matrices, _only(len(matrices[0]), rows[0]["entry"]), rows[0]["leave"])
-        return pa.table([pa.array([r["digest"] for r in rows]), pa.array([r["k"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "k", "entry", "leave"])
+        return pa.RecordBatch.from_arrays([pa.array([r["digest"] for r in rows]), pa.array([r["k"] for r in rows], pa.int32()), *(pa.array([w[i] for w in ways], pa.int32()) for i in (0, 1))], names=["digest", "k", "entry", "leave"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [merges(path).part(r["body"].decode("utf-8", "surrogatepass"), r["at"], r["last"], r["entry"], r["leave"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("k"), pa.array(ids, pa.binary())], names=["digest", "k", "ids"])
+            for at in range(0, batch.num_rows, sent):
+                some = batch.slice(at, sent)
+                made = [merges(path).parted(r["body"].decode("utf-8", "surrogatepass"), r["at"], r["last"], r["entry"], r["leave"]) for r in some.to_pylist()]
+                middle = merges(path).encode_marked([m for _, m, _ in made])
+                ids = [a + b + c for (a, _, c), b in zip(made, middle)]
+                yield pa.RecordBatch.from_arrays([some.column("digest"), some.column("k"), pa.array(ids, pa.binary())], names=["digest", "k", "ids"])
 
     chunks = stored(texts.mapInArrow(split, "digest string, k int, block int, at int, last boolean, body binary").repartition(n, "digest", "k"), "chunks")
     made = stored(chunks.repartition(n, "digest", "k").mapInArrow(transfer, "digest string, k int, block int, wide int, m binary"), "matrices")
-    products = made.groupBy("digest", "block").applyInArrow(product, "digest string, block int, wide int, m binary")
-    ways = products.groupBy("digest").applyInArrow(blocks, "digest string, block int, entry int, leave int")
-    each = made.join(ways, ["digest", "block"]).groupBy("digest", "block").applyInArrow(within, "digest string, k int, entry int, leave int")
-    ids = chunks.join(each, ["digest", "k"]).repartition(n, "digest", "k").mapInArrow(emit, "digest string, k int, ids binary")
-    return ids.groupBy("digest").applyInArrow(_gather(path), f"digest string, {_RESULT}")
+    products = _grouped(made, n, ["digest", "block"], "k", product, "digest string, block int, wide int, m binary")
+    ways = _grouped(products, n, ["digest"], "block", blocks, "digest string, block int, entry int, leave int")
+    # dealt out by number: tasks that hold few bytes and much work are not to be put together
+    led = made.repartition(n, "digest", "block").join(ways.repartition(n, "digest", "block"), ["digest", "block"])
+    each = _grouped(led, n, ["digest", "block"], "k", within, "digest string, k int, entry int, leave int")
+    ids = chunks.repartition(n, "digest", "k").join(each.repartition(n, "digest", "k"), ["digest", "k"]).mapInArrow(emit, "digest string, k int, ids binary")
+    return _grouped(ids, n, ["digest"], "k", partial(_whole, path), f"digest string, {_RESULT}")
 
 
 def _matrices(columns: list[pa.Array], made: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
