@@ -150,11 +150,20 @@ def answers(replies: DataFrame) -> DataFrame:
     rows = replies.select(F.col("key").cast("string").alias("key"), F.col("reply").cast("string").alias("reply")).mapInArrow(_scan, _FOUND)
     none, text = F.array().cast("array<string>"), "string"
 
-    def judged(o: Column) -> Column:
-        v, keys = F.try_parse_json(o["object"]), F.coalesce(F.json_object_keys(o["object"]), none)
-        field = {name: _field(keys, v, name) for name in FIELDS}
-        said, value = {n: f[0] for n, f in field.items()}, {n: f[1] for n, f in field.items()}
-        answer = _stripped(_text(value["answer"]))
+    def opened(o: Column) -> Column:
+        return F.struct(o["place"].alias("place"), o["repairs"].alias("repairs"), F.try_parse_json(o["object"]).alias("v"), F.coalesce(F.json_object_keys(o["object"]), none).alias("keys"))
+
+    def named(o: Column) -> Column:
+        field = {name: _field(o["keys"], o["v"], name) for name in FIELDS}
+        both = [c for name, (said, value) in field.items() for c in (said.alias(f"{name}_said"), value.alias(name))]
+        return F.struct(o["place"].alias("place"), o["repairs"].alias("repairs"), o["keys"].alias("keys"), *both)
+
+    def answered(o: Column) -> Column:
+        return F.struct(o.alias("o"), _stripped(_text(o["answer"])).alias("answer"))
+
+    def judged(x: Column) -> Column:
+        o, answer = x["o"], x["answer"]
+        keys, said, value = o["keys"], {n: o[f"{n}_said"] for n in FIELDS}, {n: o[n] for n in FIELDS}
         cited = value["citations"]
         empty = said["citations"].isNull() | F.coalesce(F.is_variant_null(cited), F.lit(True))
         citations = F.when(empty, none).when(_is(cited, "STRING"), F.array(_stripped(_text(cited)))).when(_is(cited, "ARRAY"), _ids(cited))
@@ -181,7 +190,11 @@ def answers(replies: DataFrame) -> DataFrame:
             claims.alias("claims"), extra.alias("extra"), F.array_compact(F.array(*notes)).alias("coerced"), wrong.alias("wrong"),
         )
 
-    every = rows.withColumn("judged", F.transform("objects", judged))
+    # a step each, so that an object is parsed, and its fields are looked up, once and not for every use of them
+    made = F.col("objects")
+    for step in (opened, named, answered, judged):
+        made = F.transform(made, step)
+    every = rows.withColumn("judged", made)
     every = every.withColumn("a", F.get(F.filter("judged", lambda x: x["wrong"].isNull()), 0)).withColumn("last", F.get("judged", F.size("judged") - 1))
     error = F.when(F.col("a").isNotNull(), None).when(F.col("tried") == 0, "no_object").when(F.col("last").isNull() | (F.col("last.candidate") < F.col("tried") - 1), "invalid_json").otherwise(F.col("last.wrong"))
     fields = [F.col(f"a.{c}").alias(c) for c in ("candidate", "answer", "citations", "evidence_status", "retrieval_rounds", "claims", "extra", "coerced")]
