@@ -30,15 +30,20 @@ def passages(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, mor
     """
     step = size - overlap
     kept = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("section"), T.spaced_words(T.normalised(F.coalesce("text", F.lit("")))).alias("w"), *more)
-    kept = kept.withColumn("n", F.size("w")).where("n > 0")
-    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
-    cut = kept.select("doc_id", "section", "w", "n", *more, F.explode(F.sequence(F.lit(0), last)).alias("chunk_number"))
-    body = F.slice("w", F.col("chunk_number") * step + 1, F.lit(size))
+    w, n = F.col("w"), F.size("w")
+    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+
+    def window(i: Column) -> Column:
+        first = i * step + 1
+        end = F.least(first + (size - 1), n)  # only its last word can end in white space
+        body = F.concat(F.array_join(F.slice(w, first, end - first), ""), F.regexp_replace(F.element_at(w, end), r"[\s\p{Z}]+\z", ""))
+        return F.struct(i.alias("chunk_number"), body.alias("text"), (end - first + 1).alias("n_words"))
+
+    # windows are cut before they become rows, so no row carries its whole document; an outer explode, since an inner one would make all words twice, for its filter
+    cut = kept.select("doc_id", "section", *more, F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))).alias("window")).where("window is not null")
     return cut.select(
-        passage_id(F.col("doc_id"), F.lit(0), F.col("chunk_number")).alias("passage_id"),
-        "doc_id", "section", "chunk_number",
-        F.regexp_replace(F.array_join(body, ""), r"[\s\p{Z}]+\z", "").alias("text"),
-        F.size(body).alias("n_words"),
+        passage_id(F.col("doc_id"), F.lit(0), F.col("window.chunk_number")).alias("passage_id"),
+        "doc_id", "section", "window.chunk_number", "window.text", "window.n_words",
         *more,
     )
 
