@@ -62,7 +62,7 @@ def spread_sample(spark, d):
 
 
 def term_statistics(spark, d):
-    return retrieval.term_counts(_chunks(spark, d))
+    return retrieval.term_counts(corpus.passages(_dealt(table(spark, d, "documents"))))  # read once, so not stored
 
 
 def bm25_corpus(spark, d):
