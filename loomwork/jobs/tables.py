@@ -28,9 +28,14 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages with their source and tokens, written once a query: every later step reads the columns it needs."""
+    """Passages with their source and tokens; every step reads the columns it needs.
+
+    Their texts are written once a query. Ids and tokens follow from what is written and are made as it is read: stored, they are
+    larger than the texts, whose overlaps cost nothing when compressed.
+    """
     if d not in _stored:
-        _stored[d] = kept(spark)(retrieval.with_tokens(corpus.passages(dealt(table(spark, d, "documents")), more=("source",))), "passages")
+        cut = corpus.cut(dealt(table(spark, d, "documents")), more=("source",))
+        _stored[d] = retrieval.with_tokens(corpus.identified(kept(spark)(cut, "passages"), "source"))
     return _stored[d]
 
 

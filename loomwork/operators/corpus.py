@@ -28,6 +28,16 @@ def passages(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, mor
     A window starts every ``size - overlap`` words until one reaches the end. Documents without words have none.
     ``more`` names columns of the documents that their passages carry.
     """
+    return identified(cut(documents, size, overlap, more), *more)
+
+
+def identified(windows: DataFrame, *more: str) -> DataFrame:
+    """Windows with their passage ids, which follow from document and number."""
+    return windows.select(passage_id(F.col("doc_id"), F.lit(0), F.col("chunk_number")).alias("passage_id"), "doc_id", "section", "chunk_number", "text", "n_words", *more)
+
+
+def cut(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, more: tuple[str, ...] = ()) -> DataFrame:
+    """The windows of ``passages`` without their ids."""
     step = size - overlap
     kept = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("section"), T.spaced_words(T.normalised(F.coalesce("text", F.lit("")))).alias("w"), *more)
     w, n = F.col("w"), F.size("w")
@@ -40,12 +50,8 @@ def passages(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, mor
         return F.struct(i.alias("chunk_number"), body.alias("text"), (end - first + 1).alias("n_words"))
 
     # windows are cut before they become rows, so no row carries its whole document; an outer explode, since an inner one would make all words twice, for its filter
-    cut = kept.select("doc_id", "section", *more, F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))).alias("window")).where("window is not null")
-    return cut.select(
-        passage_id(F.col("doc_id"), F.lit(0), F.col("window.chunk_number")).alias("passage_id"),
-        "doc_id", "section", "window.chunk_number", "window.text", "window.n_words",
-        *more,
-    )
+    found = kept.select("doc_id", "section", *more, F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))).alias("window")).where("window is not null")
+    return found.select("doc_id", "section", "window.chunk_number", "window.text", "window.n_words", *more)
 
 
 def linked(chunks: DataFrame) -> DataFrame:
