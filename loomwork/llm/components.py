@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.scratch import forget, stored
+from loomwork.llm.scratch import forget, measured, stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the driver sees one count and one checksum a step. Hub nodes meet as aggregated minima, and the
     joins back can be split, since every row of a hub needs only its minimum.
     """
-    edges = stored(links.select("u", "v").where("u <> v"), "links")
+    edges = measured(links.select("u", "v").where("u <> v"), "links")
     seen = None
     for _ in range(rounds):
         new = stored(_small_star(_large_star(edges)), "links")

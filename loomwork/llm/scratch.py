@@ -47,6 +47,31 @@ def stored(df: DataFrame, name: str, freed: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def sizes_measured(spark: SparkSession) -> Iterator[None]:
+    """An action sends only such tables to all tasks as were shuffled and found small enough.
+
+    Before an action, sizes are guessed from those of files, which is far too low after an explode and for columns that
+    compress well: a table taken for 10 MB may be 1 GB in the driver.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    had = {name: spark.conf.get(name, None) for name in (static, adaptive)}
+    if had[adaptive] is None:
+        spark.conf.set(adaptive, spark.conf.get(static))
+    spark.conf.set(static, "-1")
+    try:
+        yield
+    finally:
+        for name, value in had.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, for steps that join tables whose sizes files do not tell."""
+    with sizes_measured(df.sparkSession):
+        return stored(df, name)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a scratch table that no later step reads."""
     spark = df.sparkSession

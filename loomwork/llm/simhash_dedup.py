@@ -106,7 +106,8 @@ def close_pairs(prints: DataFrame) -> DataFrame:
     x = F.col("u").bitwiseXOR(F.col("v"))
     rotation = F.shiftright(F.col("key"), 32)
     first = F.coalesce(*(F.when(_chain(x, i), i) for i in range(SEGMENTS)))
-    pairs = keys("u", False).join(keys("v", True), "key").where((F.col("u") < F.col("v")) & (first == rotation))
+    # Spark takes the keys for as many as the fingerprints and would send them to all tasks, 68 a fingerprint, from the driver
+    pairs = keys("u", False).join(keys("v", True).hint("merge"), "key").where((F.col("u") < F.col("v")) & (first == rotation))
     return pairs.select("u", "v")
 
 
@@ -122,7 +123,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     roots = components(close_pairs(prints.select("fp")))
     grouped = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # many rows of few fingerprints are a small file, but not a small table
+    return docs.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:

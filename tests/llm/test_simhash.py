@@ -75,3 +75,18 @@ def test_one_of_each_group_and_empty(documents, spark):
     docs = documents([(5, "a b c d"), (3, "A b c d"), (3, "A b c d"), (9, "other words here now"), (11, None), (12, "")])
     assert sorted(r.doc_id for r in S.one_of_each_group(docs).collect()) == [3, 9, 11]
     assert S.near_duplicates(documents([])).count() == 0
+
+
+def test_keys_of_fingerprints_are_not_sent_to_all_tasks(spark):
+    """68 keys a fingerprint are many times what Spark takes them for by the file of fingerprints."""
+    rng = np.random.default_rng(5)
+    near = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 3000)]
+    prints = S.stored(spark.createDataFrame([(v ^ k,) for v in near for k in (0, 1)], "fp long"), "prints")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "4m"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        assert S.close_pairs(prints).count() == 3000
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
