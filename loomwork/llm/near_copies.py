@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
-from loomwork.llm.scratch import apart, forget, stored
+from loomwork.llm.scratch import apart, forget, measured, stored
 from loomwork.llm.simhash_dedup import _FOLD, close_pairs, majority_bits
 from loomwork.llm.textnp import Words, buffer_of, mix, slices
 
@@ -248,7 +248,7 @@ def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     tally = np.ones(BUCKETS, np.uint8)
     tally[many.column("bucket").to_numpy()] = many.column("sets").to_numpy().astype(np.uint8)
     made = sets.select("node", "hashes").mapInArrow(_first(mask, tally), "node long, n long, at long, token long")
-    rows = stored(made.join(nodes.select("node", "root"), "node").select("node", "root", F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at"), "token"), "first")
+    rows = measured(made.join(nodes.select("node", "root"), "node").select("node", "root", F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at"), "token"), "first")
     met = rows.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token")
     return rows.join(met, "token")
 
@@ -263,7 +263,7 @@ def _across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     so they meet nobody they are not similar to. A pair whose sets' parities differ in more bits than similar sets
     differ in shingles is no pair. A shingle's most frequent root is not joined with itself.
     """
-    rows = stored(_prefixes(nodes, sets).join(sets.select("node", "odd"), "node"), "prefixes")
+    rows = measured(_prefixes(nodes, sets).join(sets.select("node", "odd"), "node"), "prefixes")
     n, at = F.col("n"), F.col("at")
     main = rows.groupBy("token", "root").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "root")).alias("main"))
     rows = rows.join(main.select("token", F.col("main.root").alias("main")), "token")
@@ -287,24 +287,24 @@ def groups(texts: DataFrame, prints: DataFrame) -> DataFrame:
     only, since a link inside a group joins nothing.
     """
     prints = stored(prints.where("n > 0"), "prints")
-    chain = stored(close_pairs(prints.select("fp").distinct()), "chain")
+    chain = measured(close_pairs(prints.select("fp").distinct()), "chain")
     keys = prints.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
-    keys = stored(keys.join(shared, "key"), "keys")
+    keys = measured(keys.join(shared, "key"), "keys")
     prints = prints.select("node", "n", "fp")
     close = chain.select(F.explode(F.array("u", "v")).alias("fp")).union(prints.groupBy("fp").agg(F.count("*").alias("nodes")).where("nodes > 1").select("fp")).distinct()
-    near = stored(prints.join(close, "fp"), "near")
+    near = measured(prints.join(close, "fp"), "near")
     needed = keys.select("node").union(near.select("node")).distinct()
     sets = texts.mapInArrow(_sets(_mask(needed)), "node long, hashes array<long>, odd array<long>").join(needed, "node", "left_semi")
-    sets = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("odd").alias("odd")), "shingles")
-    led = stored(_chain_led(near, chain).union(_led(keys)).distinct(), "led")
+    sets = measured(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("odd").alias("odd")), "shingles")
+    led = measured(_chain_led(near, chain).union(_led(keys)).distinct(), "led")
     first = stored(components(_verified(led, sets)), "groups")
     rooted = keys.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
-    nodes = stored(rooted.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "nodes")
+    nodes = measured(rooted.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "nodes")
     forget(keys)
     beyond = _chain_across(near.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), chain)
-    across = stored(_across(nodes, sets).union(beyond).distinct(), "across")
+    across = measured(_across(nodes, sets).union(beyond).distinct(), "across")
     ends = _verified(across.select("u", "v"), sets).join(across, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     second = stored(components(ends.distinct()), "groups").select(F.col("node").alias("root"), F.col("root").alias("top"))
     for table in (sets, near, across):
@@ -330,7 +330,7 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text"))
     named = scanned.select(key.alias("row"), "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     counted = named.groupBy("root", "row").agg(F.count("*").alias("rows"))
-    judged = stored(counted.join(named.groupBy("root").agg(F.min("row").alias("least")), "root").select("row.*", "rows", (F.col("row") == F.col("least")).alias("kept")), "judged")
+    judged = measured(counted.join(named.groupBy("root").agg(F.min("row").alias("least")), "root").select("row.*", "rows", (F.col("row") == F.col("least")).alias("kept")), "judged")
     gone = stored(judged.where("not kept").select(*_KEY), "gone")
     several = stored(judged.where("kept and rows > 1").select(*_KEY), "several")
     mine = apart(documents, *_KEY, "node")

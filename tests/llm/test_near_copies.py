@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwork.llm import near_copies as N
+from loomwork.llm import scratch
 
 
 def similarity(a, b):
@@ -141,3 +142,20 @@ def test_groups_link_by_fingerprints_alone(spark, documents):
     nodes = {r.doc_id: r for r in scanned.collect()}
     assert bin((nodes[0].fp ^ nodes[1].fp) & (2**64 - 1)).count("1") <= 3
     assert found == {nodes[k].node: min(nodes[0].node, nodes[1].node) for k in (0, 1)}
+
+
+def test_no_step_of_joins_broadcasts_by_the_size_of_files(spark, documents, monkeypatch):
+    """Prefixes by class of sizes were 178 MB in the driver, from a file taken for less than 10 MB."""
+    plans, stored = {}, scratch.stored
+
+    def seen(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, *more)
+
+    for module in (scratch, N):
+        monkeypatch.setattr(module, "stored", seen)
+    words = [f"w{k}" for k in range(100)]
+    assert N.one_of_each_group(documents([" ".join([*words[:-k], *[f"v{k}"] * k]) for k in range(1, 30)])).count() == 1
+    joins = {"keys", "near", "shingles", "led", "nodes", "first", "prefixes", "across", "judged"}
+    assert joins <= plans.keys() and not [name for name in joins if "Broadcast" in plans[name]]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
