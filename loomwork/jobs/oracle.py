@@ -84,10 +84,10 @@ both_ AS (SELECT question_id, passage_id, max(score) AS score FROM (SELECT * FRO
 SELECT question_id, passage_id, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM both_) WHERE rank <= 5"""
 
 
-def _dense(extra: str) -> str:
+def _dense(pairs: str) -> str:
     return f"""
 WITH unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), norm AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM unit),
-pair AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.v, x.v) / (q.n * x.n), 6) AS score FROM norm q, norm x WHERE q.vec_id % 50 = 0 {extra})
+pair AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.v, x.v) / (q.n * x.n), 6) AS score FROM norm q, norm x WHERE {pairs})
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pair) WHERE rank <= 5"""
 
 
@@ -136,8 +136,8 @@ SELECT source, doc_id FROM placed WHERE total <= 8 OR place IN (SELECT CAST(floo
     "bm25_paper": f"WITH {CHUNKS.replace('chunks AS (', 'chunks0 AS (')}, chunks AS (SELECT c.*, d.source FROM chunks0 c JOIN documents d USING (doc_id)), {questions("'src' || (item_id % 20)")}, {scores('source')}, {_top('source')}",
     "bm25_section": f"""WITH {CHUNKS}, {questions()}, {scores()}
 SELECT question_id, section, passage_id, rank, round(score, 6) AS score FROM (SELECT question_id, section, passage_id, score, {_RANK.replace('question_id ORDER', 'question_id, section ORDER')} AS rank FROM bm25 JOIN chunks USING (passage_id)) WHERE rank <= 5""",
-    "dense_corpus": _dense(""),
-    "dense_paper": _dense("AND q.label = x.label"),
+    "dense_corpus": _dense("q.vec_id % 50 = 0 "),
+    "dense_paper": _dense("q.label = x.label"),
     "rrf_fusion": f"{_BASE}, {_FUSED} SELECT * FROM fused WHERE rank <= 5",
     "reranked": f"""{_BASE}, {_FUSED}, pairs AS (SELECT f.question_id, f.passage_id, coalesce(o.score, 0) AS pair_score, f.score FROM fused f LEFT JOIN overlap o USING (question_id, passage_id) WHERE f.rank <= 10)
 SELECT question_id, passage_id, rank, round(pair_score, 6) AS pair_score, score FROM (
